@@ -135,10 +135,10 @@ def shingle_hashes(h: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
         if j - i >= n:
             out.append(np.unique(g[i : j - n + 1]))
         elif j > i:
-            x = np.uint64(j - i)
-            for y in h[i:j]:
-                x = mix(x * k[0] + y)
-            out.append(np.array([x], np.uint64))
+            x = np.full(1, j - i, np.uint64)
+            for y in range(i, j):
+                x = mix(x * k[0] + h[y : y + 1])
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
