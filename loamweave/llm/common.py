@@ -32,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A broadcast hint for a computed table, only where its counted rows stay below the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shared(df: DataFrame, value) -> Broadcast:
     """Broadcast a driver-side value of bounded size to Python workers that know this package."""
     ship(df.sparkSession)

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -115,16 +115,16 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: floa
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     t = cut(t.withColumn("whole", F.least(whole, F.lit(int(max_repeat)))).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    small = F.broadcast(t.withColumnRenamed("src", "_s"))  # a row per source
+    per_source = small(t.withColumnRenamed("src", "_s"))
     h = F.xxhash64(F.lit(seed), "doc_id")
     odd = F.xxhash64(F.lit(seed + 1), "src").bitwiseOR(F.lit(1))
     rank = F.pmod(F.pmod(odd, F.lit(n)) * F.pmod(h, F.lit(n)) + F.pmod(F.xxhash64(F.lit(seed + 2), "src"), F.lit(n)), F.lit(n)).cast("int")
     d = d.withColumn("_rank", rank)
-    per_block = d.groupBy("src", "_rank").agg(F.sum("size").alias("words")).join(small, same("src", "_s"))
+    per_block = d.groupBy("src", "_rank").agg(F.sum("size").alias("words")).join(per_source, same("src", "_s"))
     upto = F.sum("words").over(Window.partitionBy("src").orderBy("_rank"))
     per_block = per_block.withColumn("upto", upto)
-    edge = per_block.filter(F.col("upto") > F.col("rest")).groupBy("src").agg(F.min_by(F.struct(F.col("_rank").alias("edge"), (F.col("rest") - F.col("upto") + F.col("words")).alias("room")), "_rank").alias("e")).select(F.col("src").alias("_e"), "e.*")
-    d = d.join(small, same("src", "_s"), "left").join(F.broadcast(edge), same("src", "_e"), "left").drop("_s", "_e")
+    edge = cut(per_block.filter(F.col("upto") > F.col("rest")).groupBy("src").agg(F.min_by(F.struct(F.col("_rank").alias("edge"), (F.col("rest") - F.col("upto") + F.col("words")).alias("room")), "_rank").alias("e")).select(F.col("src").alias("_e"), "e.*"))
+    d = d.join(per_source, same("src", "_s"), "left").join(small(edge), same("src", "_e"), "left").drop("_s", "_e")
     # the documents of the block in which the target falls, in hash order
     inner = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "_row")
     at_edge = d.filter(F.col("_rank") == F.col("edge")).withColumn("_upto", F.sum("size").over(inner)).withColumn("_in", F.col("_upto") <= F.col("room"))
@@ -136,9 +136,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: floa
     first = (F.col("size") > 0) & (F.coalesce(F.col("_rank") < F.col("edge"), F.lit(False)) | F.col("_i").isNotNull())
     d = d.withColumn("_part", first).drop("_i")
     off = F.abs(F.col("gap") - F.col("size"))
-    fit = d.filter(~F.col("_part") & (F.col("size") > 0)).join(F.broadcast(left), same("src", "_g")).filter(off < F.col("gap"))
+    fit = d.filter(~F.col("_part") & (F.col("size") > 0)).join(small(left), same("src", "_g")).filter(off < F.col("gap"))
     fit = fit.groupBy("src").agg(F.min_by("_row", F.struct(off, F.xxhash64(F.lit(seed + 4), "doc_id"), F.col("_row"))).alias("_f")).select("_f")
-    d = d.join(F.broadcast(fit), F.col("_row") == F.col("_f"), "left").withColumn("_part", F.col("_part") | F.col("_f").isNotNull())
+    fit = cut(fit)
+    d = d.join(small(fit), F.col("_row") == F.col("_f"), "left").withColumn("_part", F.col("_part") | F.col("_f").isNotNull())
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("_part").cast("int")).otherwise(0).cast("int")
     # block draws: all blocks of the whole repetitions, then those up to the edge
     q = t.join(edge, same("src", "_e"), "left").select("src", (F.col("whole") * n + F.coalesce(F.col("edge") + 1, F.lit(0))).cast("int").alias("q"))
@@ -146,7 +147,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: floa
     tree = splitting_tree(quotas, depth, seed)
     spread = tree.select("shard", F.explode("quotas").alias("x")).groupBy("x.src").agg(F.array_sort(F.collect_list(F.struct("shard", F.col("x.q").alias("q")))).alias("per"))
     ends = F.aggregate("per", F.expr("cast(array() as array<int>)"), lambda a, x: F.concat(a, F.array(x["q"] + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)))))
-    spread = F.broadcast(spread.select(F.col("src").alias("_t"), ends.alias("_ends")))
+    spread = small(cut(spread.select(F.col("src").alias("_t"), ends.alias("_ends"))))
     d = d.join(spread, same("src", "_t"), "left")
     last = F.element_at("_ends", -1)
     place = lambda j: F.least(j * n + F.col("_rank"), last - 1)

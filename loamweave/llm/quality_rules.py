@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut
+from .common import SPACE, WORD, cut, small
 
 #: Rule name -> cut-offs, loosest first.  A document is rejected where its measure is above.
 GRID = {
@@ -85,8 +85,8 @@ def measures(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFr
     docs = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     docs = docs.withColumn(w, F.filter(F.split(t, f"{SPACE}+"), lambda x: x != ""))
     lines = F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(WORD))
-    docs = docs.withColumn(
-        b,
+    # explode keeps the optimiser from writing the counts' expressions into each place that reads them
+    counts = F.explode(F.array(
         F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -95,8 +95,9 @@ def measures(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFr
             _repeated(F.col(w)).alias("n_repeat_words"),
             F.regexp_count(t, F.lit(r"\p{Lu}")).alias("capitals"),
             F.regexp_count(t, F.lit("[!?]")).alias("marks"),
-        ),
-    ).drop(w)
+        )
+    ))
+    docs = docs.withColumn(b, counts).drop(w)
     c = lambda x: F.col(f"{b}.{x}")
     per = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
     return docs.withColumn(
@@ -174,14 +175,14 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "l
     """The cut-offs from the documents that have labels."""
     ids = labels.select(F.col("doc_id").alias("_id")).distinct()
     some = docs.select(F.col("doc_id"), F.col(text).alias("text"), stratum(F.col(lang)).alias("stratum")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    return thresholds(measures(some).select("doc_id", "stratum", F.col("_q_m").alias("m")), labels, **options)
+    return thresholds(cut(measures(some).select("doc_id", "stratum", F.col("_q_m").alias("m"))), labels, **options)
 
 
 def apply(docs: DataFrame, cutoffs: DataFrame, lang: str = "lang", text: str = "text", prefix: str = "_q_") -> DataFrame:
     """``docs`` with <prefix>base, <prefix>m and <prefix>kept; the texts are not shuffled."""
     cuts = cutoffs.select(F.col("stratum").alias(f"{prefix}s"), F.struct(*[F.col(r) for r in GRID]).alias(f"{prefix}c"))
     d = measures(docs, text, prefix).withColumn(f"{prefix}k", stratum(F.col(lang)))
-    d = d.join(F.broadcast(cuts), F.col(f"{prefix}k") == F.col(f"{prefix}s"), "left")
+    d = d.join(small(cuts), F.col(f"{prefix}k") == F.col(f"{prefix}s"), "left")
     kept = ~base_failed(F.col(f"{prefix}base")) & verdict(F.col(f"{prefix}m"), F.col(f"{prefix}c"))
     return d.withColumn(f"{prefix}kept", kept).drop(f"{prefix}s", f"{prefix}c", f"{prefix}k")
 
@@ -196,7 +197,7 @@ def assess(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     m = cut(m.select("doc_id", "stratum", F.col("_q_base").alias("base"), F.col("_q_m").alias("m")))
     cuts = cut(thresholds(m, labels, **options))
     c = cuts.select(F.col("stratum").alias("_s"), F.struct(*[F.col(r) for r in GRID]).alias("_c"))
-    out = m.join(F.broadcast(c), F.col("stratum") == F.col("_s"), "left")
+    out = m.join(small(c), F.col("stratum") == F.col("_s"), "left")
     b = F.col("base")
     return out.select(
         "doc_id", b["n_words"].alias("n_words"), b["word_chars"].alias("word_chars"), b["n_symbols"].alias("n_symbols"),
