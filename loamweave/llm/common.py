@@ -52,6 +52,11 @@ def fold(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % n
 
 
+def below(share: Column, *keys) -> Column:
+    """True for about ``share`` of the keys: those with the smallest hashes."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < share * float(1 << 30)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, max_chars: int) -> DataFrame:
     """A bounded sample of labelled training texts: ``per_class`` rows of each label value.
 
@@ -63,12 +68,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & (fold(F.col("_id"), modulus) != held)).dropDuplicates(["_id"])
     d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).filter((fold(F.col("_id"), modulus) != held) & F.length("_text").between(1, max_chars))
-    # the few ids are chosen first, from ids and lengths alone; only then are their texts read
-    order = F.xxhash64(F.lit(label), "_id")
+    # the few ids are chosen first, from ids and lengths alone; only then are their texts read.  A share of
+    # the ids in hash order, several times what is needed, keeps the ranked rows few at any input size.
+    n = {r["_y"]: r["count"] for r in y.groupBy("_y").count().collect()}
+    share = F.when(F.col("_y") == 1, min(1.0, 8 * per_class / max(1, n.get(1, 0)))).otherwise(min(1.0, 8 * per_class / max(1, n.get(0, 0))))
+    order = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     chosen = (
-        d.select("_id").join(y, "_id")
+        d.select("_id").join(y.filter(below(share, "_id")), "_id")
         .withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy(order, "_id")))
         .filter(F.col("_r") <= per_class)
         .select("_id", "_y")
-    )
+    )
     return d.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "_y", "_text")

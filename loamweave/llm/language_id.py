@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import fold, id_type, shared
+from .common import below, fold, id_type, shared
 
 BITS, HASHES = 18, 2
 _MULT = np.random.default_rng(9).integers(1, 2**32, 8, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -94,10 +94,14 @@ class Filters:
 
 def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 400, max_chars: int = 8000, max_langs: int = 64) -> Filters:
     d = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_l"), F.col("text").alias("_t")).filter(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (fold(F.col("_id"), modulus) != held))
-    langs = [r[0] for r in d.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(max_langs).collect()]
-    d = d.filter(F.length("_t").between(1, max_chars) & F.col("_l").isin(langs))
-    w = Window.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id")
-    chosen = d.select("_id", "_l").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang).select("_id").distinct()
+    langs = {r[0]: r[1] for r in d.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(max_langs).collect()}
+    if not langs:
+        return Filters({})
+    d = d.filter(F.length("_t").between(1, max_chars) & F.col("_l").isin(list(langs)))
+    # several times the rows needed, by hash, so that the ranked rows stay few at any input size
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in langs.items() for x in (k, min(1.0, 8 * per_lang / n))]), F.col("_l"))
+    w = Window.partitionBy("_l").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
+    chosen = d.select("_id", "_l").filter(below(share, "_id")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang).select("_id").distinct()
     rows = d.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_l", "_t").collect()  # per_lang * max_langs at most
     texts: dict[str, list[str]] = {}
     for r in rows:
