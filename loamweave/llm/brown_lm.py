@@ -9,6 +9,7 @@ before its first word.  Counts cover every training text:
 3. exchange clustering on the driver moves each frequent word to the class that raises the average
    mutual information of adjacent classes most, until a sweep changes nothing or ``sweeps`` are done;
    the pseudo words are classes of their own;
+   Words seen once always belong to the tail, so that its class has the contexts of rare words;
 4. P(word | before) = P(class | class before) * P(word | class), both with added counts.
 
 Scoring looks up the ``head`` most frequent words in a table of bounded size.  All other words, known
@@ -179,8 +180,18 @@ def learn(docs: DataFrame, modulus: int = 10, held: int = 0, head: int = HEAD, c
     counts = cut(word_counts(train))
     ends = train.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top_rows = counts.orderBy(F.desc("n"), "w").limit(head).toArrow()  # head rows of 16 bytes
-    hashes, n = top_rows.column("w").to_numpy().view(np.uint64), top_rows.column("n").to_numpy().astype(float)
+    # the head: words above a count that at most ``head`` words reach, found from a histogram of some
+    # hundred rows, so that no task ranks the words of all others
+    step = F.floor(F.log2(F.col("n")) * 64).cast("int")
+    sizes, least, total = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect(), None, 0
+    for r in sorted(sizes, key=lambda r: -r["s"]):
+        total += r["k"]
+        if total > head:
+            break
+        least = r["s"]
+    rows = counts.filter(F.lit(False) if least is None else (step >= least) & (F.col("n") > 1)).toArrow()  # head rows of 16 bytes at most
+    rows = rows.sort_by([("n", "descending"), ("w", "ascending")])
+    hashes, n = rows.column("w").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(float)
     lookup, top = ta.Lookup(hashes), min(cluster, len(hashes))
     m = np.zeros((top + 3, top + 3))
     b = bigrams(train, lookup, top).toArrow()
