@@ -19,7 +19,8 @@ Two documents link when 100 * |x & y| >= percent * |x | y| for their sets of ``n
 
 Before a pair leaves a list, the parities of ``BITS`` shingle buckets are compared: each shingle that
 only one set has flips at most one parity, so more differing parities than differing shingles are
-allowed rule the pair out.  All other pairs are verified exactly, on the whole sets.
+allowed rule the pair out.  Pairs that leave a list are screened once more in the same way, with as many
+parities as the sets have shingles, and all that remain are verified exactly, on the whole sets.
 
 Verification joins pairs with the sets of the classes in them.  Sets are made again from the texts of
 just these classes (a bit table of their text hashes, sized by their number, selects them in one
@@ -93,6 +94,13 @@ def need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Parities of fewer buckets: halves are added until ``size`` entries are left."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def signatures(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bits: int) -> DataFrame:
     """(doc_id, tk: hash of the text, size, cid: hash of the set, toks: indexed shingles in order, bits: parities)."""
     held = shared(docs, np.packbits(frequent))
@@ -101,12 +109,14 @@ def signatures(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bits
     def run(batches):
         flags = np.unpackbits(held.value).astype(bool)
         for b in batches:
-            size, cid, toks, bits_ = [], [], [], []
+            size, cid, toks, bits_, wide = [], [], [], [], []
             for _, _, sets in _sets(b.column("_text"), n):
                 for x in sets:
                     size.append(len(x))
-                    odd = np.bincount((x % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                    bits_.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                    full = BITS << max(0, int(np.ceil(np.log2(max(1, len(x)) / BITS))))
+                    odd = (np.bincount((x % np.uint64(full)).astype(np.int64), minlength=full) & 1).astype(np.uint8)
+                    wide.append(np.packbits(odd).tobytes())
+                    bits_.append(np.packbits(_folded(odd, BITS)).tobytes())
                     cid.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
                     p = len(x) - (-(-len(x) * percent // 100)) + 1 if len(x) else 0
                     hot = flags[(x >> np.uint64(64 - bits)).astype(np.int64)]
@@ -116,9 +126,9 @@ def signatures(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bits
                     toks.append((head >> np.uint64(1) | (flags[(head >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(63))).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)))
-            yield pa.record_batch([b.column("doc_id"), b.column("tk"), pa.array(size, pa.int32()), pa.array(cid, pa.int64()), lists, pa.array(bits_, pa.binary())], names=["doc_id", "tk", "size", "cid", "toks", "bits"])
+            yield pa.record_batch([b.column("doc_id"), b.column("tk"), pa.array(size, pa.int32()), pa.array(cid, pa.int64()), lists, pa.array(bits_, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "tk", "size", "cid", "toks", "bits", "wide"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, tk long, size int, cid long, toks array<long>, bits binary")
+    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, tk long, size int, cid long, toks array<long>, bits binary, wide binary")
 
 
 def _runs(batches, names):
@@ -209,13 +219,31 @@ def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
     return rare.unionByName(common).distinct()
 
 
-def block_pairs(live: DataFrame, percent: int, block: int = 64) -> DataFrame:
+def block_pairs(live: DataFrame, percent: int, block: int = 64, short: int = 8) -> DataFrame:
     """Pairs (a, b) of different components from lists read in blocks of one position each."""
 
+    def tested(size, pos, cid, comp, bits, p, q):
+        """The pairs of places (p, q) that may link, as a batch."""
+        bound = np.minimum(pos[p], pos[q]) + np.minimum(size[p] - pos[p], size[q] - pos[q])
+        good = (comp[p] != comp[q]) & (bound >= need(size[p], size[q], percent))
+        p, q = p[good], q[good]
+        good = _may_link(size[p], size[q], bits[p], bits[q], percent)
+        p, q = p[good], q[good]
+        pairs = np.unique(np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])]), axis=1)
+        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
     def run(batches):
         for x in _runs(batches, ["tok", "size", "cid", "pos", "comp", "bits"]):
             edges = np.flatnonzero(np.concatenate([[True], x["tok"][1:] != x["tok"][:-1], [True]]))
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            # lists of a few sets: all at once, by the distance of the two places
+            n = np.diff(edges)
+            left = np.repeat(np.where(n <= short, n, 0), n) - (np.arange(len(x["tok"])) - np.repeat(edges[:-1], n)) - 1
+            whole = [x["size"].astype(np.int64), x["pos"].astype(np.int64), x["cid"], x["comp"], x["bits"]]
+            for k in range(1, short):
+                p = np.flatnonzero(left >= k)
+                if len(p):
+                    yield tested(*whole, p, p + k)
+            for i, j in zip(edges[:-1][n > short].tolist(), edges[1:][n > short].tolist(), strict=True):
                 size, pos, cid, comp, bits = x["size"][i:j].astype(np.int64), x["pos"][i:j].astype(np.int64), x["cid"][i:j], x["comp"][i:j], x["bits"][i:j]
                 # blocks: entries of one position, at most ``block`` of them, in the order of size
                 cuts = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
@@ -231,15 +259,10 @@ def block_pairs(live: DataFrame, percent: int, block: int = 64) -> DataFrame:
                     for o in (np.flatnonzero(ok) + b).tolist():
                         p, q = np.meshgrid(np.arange(c, d), np.arange(cuts[o], ends[o]), indexing="ij")
                         p, q = p.ravel(), q.ravel()
-                        good = comp[p] != comp[q]
                         if o == b:
-                            good &= p < q
-                        p, q = p[good], q[good]
-                        bound = np.minimum(pos[p], pos[q]) + np.minimum(size[p] - pos[p], size[q] - pos[q])
-                        good = (bound >= need(size[p], size[q], percent)) & _may_link(size[p], size[q], bits[p], bits[q], percent)
-                        p, q = p[good], q[good]
+                            p, q = p[p < q], q[p < q]
                         if len(p):
-                            yield pa.record_batch([pa.array(np.minimum(cid[p], cid[q])), pa.array(np.maximum(cid[p], cid[q]))], names=["a", "b"])
+                            yield tested(size, pos, cid, comp, bits, p, q)
 
     e = live.repartition("tok").sortWithinPartitions("tok", "pos", "size", "cid")
     return e.select("tok", "size", "cid", "pos", "comp", "bits").mapInArrow(run, "a long, b long").distinct()
@@ -277,6 +300,25 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -
     return got.groupBy("cid").agg(F.first("items").alias("items"))  # fully equal rows give it twice
 
 
+def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their wide parities do not rule out."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y, m, n in zip(b.column("x"), b.column("y"), b.column("m").to_pylist(), b.column("n").to_pylist(), strict=True):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                size = min(len(u), len(v))
+                differ = int(np.bitwise_count(_folded(u, size) ^ _folded(v, size)).sum())
+                keep.append(differ <= m + n - 2 * (-(-percent * (m + n) // (100 + percent))))
+            k = pa.array(keep, pa.bool_())
+            yield pa.record_batch([b.column("a").filter(k), b.column("b").filter(k)], names=["a", "b"])
+
+    side = lambda c, bits, size: classes.select(F.col("cid").alias(c), F.col("wide").alias(bits), F.col("size").cast("long").alias(size))
+    p = pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b")
+    return p.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -302,12 +344,13 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, text: str = "t
     d = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tk"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     frequent = frequent_buckets(d, n)
     sig = cut(signatures(d, frequent, n, percent, SKETCH_BITS))
-    classes = cut(sig.filter("size > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min(F.struct("tk", "doc_id")).alias("one"), F.first("size").alias("size"), F.first("toks").alias("toks"), F.first("bits").alias("bits")))
-    entries = classes.select("cid", "size", F.posexplode("toks").alias("pos", "tok"))
+    full = sig.filter("size > 0").groupBy("cid")
+    classes = cut(full.agg(F.min("doc_id").alias("least"), F.min(F.struct("tk", "doc_id")).alias("one"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
+    entries = full.agg(F.first("size").alias("size"), F.first("toks").alias("toks")).select("cid", "size", F.posexplode("toks").alias("pos", "tok"))
     live = cut(shared_lists(entries))
     trace("live", live)
     central = live.groupBy("cid").agg(F.sum("n").alias("central")).join(classes.select("cid", "bits"), "cid")
-    stars = cut(hub_pairs(live.join(central, "cid"), percent))
+    stars = cut(screen(hub_pairs(live.join(central, "cid"), percent), classes, percent))
     trace("stars", stars)
     ids = lambda p: p.select(F.col("a").alias("cid")).union(p.select(F.col("b").alias("cid"))).distinct()
     links = cut(verify(stars, fetch_sets(d, classes, ids(stars), n), percent))
@@ -317,7 +360,8 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, text: str = "t
     labelled = live.select("tok", "size", "cid", "pos").join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", name("cid")).drop("id")
     # lists with one component have their answers already
     mixed = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    more = cut(block_pairs(labelled.join(mixed, "tok", "left_semi").join(classes.select("cid", "bits"), "cid"), percent).join(stars, ["a", "b"], "left_anti"))
+    rest = block_pairs(labelled.join(mixed, "tok", "left_semi").join(classes.select("cid", "bits"), "cid"), percent)
+    more = cut(screen(rest.join(stars, ["a", "b"], "left_anti"), classes, percent))
     trace("more", more)
     if more.limit(1).count():
         found = cut(verify(more, fetch_sets(d, classes, ids(more), n), percent))
