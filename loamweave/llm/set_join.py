@@ -56,8 +56,12 @@ def _sets(column: pa.Array, n: int):
         yield i, j, ta.shingle_hashes(ta.word_hashes(data, s, e), at, n)
 
 
-def frequent_buckets(docs: DataFrame, n: int, bits: int = SKETCH_BITS, times: float = 4.0, least: int = 32) -> np.ndarray:
-    """A flag per hash bucket: its documents are at least ``times`` the mean and ``least``.  2**bits flags."""
+def frequent_buckets(docs: DataFrame, n: int, bits: int = SKETCH_BITS, spread: float = 6.0) -> np.ndarray:
+    """A flag per hash bucket: its documents exceed the mean by ``spread`` times the mean's root.  2**bits flags.
+
+    Chance alone hardly fills a bucket so; the larger the input, the smaller the share of documents that
+    a shingle needs to be found frequent.
+    """
     shared(docs, None)
     step = (1 << bits) // CHUNKS
 
@@ -85,7 +89,7 @@ def frequent_buckets(docs: DataFrame, n: int, bits: int = SKETCH_BITS, times: fl
     rows = parts.mapInArrow(merge, "c int, total long, counts binary").collect()  # CHUNKS rows, 4 * 2**bits bytes at most
     out, mean = np.zeros(1 << bits, bool), sum(r["total"] for r in rows) / (1 << bits)
     for r in rows:
-        out[r["c"] * step : (r["c"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32) >= max(least, times * mean)
+        out[r["c"] * step : (r["c"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32) > mean + spread * max(1.0, mean) ** 0.5
     return out
 
 
@@ -131,6 +135,15 @@ def signatures(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bits
     return docs.mapInArrow(run, f"doc_id {id_type(docs)}, tk long, size int, cid long, toks array<long>, bits binary, wide binary")
 
 
+def _dealt(frame: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one partition, for code that reads whole lists.
+
+    Dealt by an expression: a plain ``repartition`` by key is dropped after a join by that key, and that
+    join may be replanned at run time to leave its rows where they are.
+    """
+    return frame.repartition(F.xxhash64(*keys))
+
+
 def _runs(batches, names):
     """Whole lists: record batches in the order of ``tok`` as arrays whose last list is complete."""
     rest = None
@@ -175,7 +188,7 @@ def shared_lists(entries: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(v[keep]) for v in (x["tok"], x["salt"], x["size"], x["cid"], x["pos"], n)], names=["tok", "salt", "size", "cid", "pos", "n"])
 
     e = entries.withColumn("salt", F.when(F.col("tok") < 0, F.pmod("cid", F.lit(SALT))).otherwise(0).cast("int"))
-    e = e.repartition("tok", "salt").sortWithinPartitions("tok", "salt")
+    e = _dealt(e, "tok", "salt").sortWithinPartitions("tok", "salt")
     return e.select("tok", "salt", "size", "cid", "pos").mapInArrow(run, "tok long, salt int, size int, cid long, pos int, n long")
 
 
@@ -207,7 +220,7 @@ def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(p, q)[good], np.maximum(p, q)[good]]), axis=1)
             yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    rare = live.filter("tok >= 0").repartition("tok").sortWithinPartitions("tok", F.desc("central"), "cid")
+    rare = _dealt(live.filter("tok >= 0"), "tok").sortWithinPartitions("tok", F.desc("central"), "cid")
     rare = rare.select("tok", "salt", "size", "cid", "bits").mapInArrow(run, "a long, b long")
     # a list of a frequent shingle can be of any length: its one hub is an aggregate, and is joined to the members
     often = live.filter("tok < 0")
@@ -264,7 +277,7 @@ def block_pairs(live: DataFrame, percent: int, block: int = 64, short: int = 8)
                         if len(p):
                             yield tested(size, pos, cid, comp, bits, p, q)
 
-    e = live.repartition("tok").sortWithinPartitions("tok", "pos", "size", "cid")
+    e = _dealt(live, "tok").sortWithinPartitions("tok", "pos", "size", "cid")
     return e.select("tok", "size", "cid", "pos", "comp", "bits").mapInArrow(run, "a long, b long").distinct()
 
 
