@@ -3,9 +3,9 @@
 Two documents link when 100 * |x & y| >= percent * |x | y| for their sets of ``n``-word shingles.
 
 1. Sets.  A shingle is a 64-bit hash.  Equal sets form one class (hash of the sorted shingles).
-2. Global order.  A count of documents per hash bucket, merged over all documents, marks frequent
-   buckets; a set is ordered by (frequent, hash), so shingles of shared passages come last.  Any one
-   order is right; this one keeps index lists short.
+2. Global order.  Documents are counted per hash bucket, over all documents; a set is ordered by the
+   counts (as 256 levels around their mean) and the hash, so shingles that many documents share come
+   last.  Any one order is right; this one keeps index lists short.
 3. Index.  The first ``size - ceil(size * percent) + 1`` shingles of a class are indexed with their
    position: one of them is common to any two sets that link.
 4. Answers from relations.  In each list the most central set (whose indexed shingles meet most other
@@ -48,6 +48,7 @@ from .common import cut, id_type, shared
 from .components import components
 
 PERCENT, WORDS, SKETCH_BITS, CHUNKS, SALT, BITS = 90, 3, 20, 16, 32, 512
+FREQUENT = 128 + 6 * 8  # six roots above the mean: hardly by chance
 
 
 def _sets(column: pa.Array, n: int):
@@ -56,12 +57,8 @@ def _sets(column: pa.Array, n: int):
         yield i, j, ta.shingle_hashes(ta.word_hashes(data, s, e), at, n)
 
 
-def frequent_buckets(docs: DataFrame, n: int, bits: int = SKETCH_BITS, spread: float = 6.0) -> np.ndarray:
-    """A flag per hash bucket: its documents exceed the mean by ``spread`` times the mean's root.  2**bits flags.
-
-    Chance alone hardly fills a bucket so; the larger the input, the smaller the share of documents that
-    a shingle needs to be found frequent.
-    """
+def bucket_levels(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """The level of each hash bucket: 128 at the mean number of documents, 8 levels to a root of the mean.  2**bits bytes."""
     shared(docs, None)
     step = (1 << bits) // CHUNKS
 
@@ -87,10 +84,10 @@ def frequent_buckets(docs: DataFrame, n: int, bits: int = SKETCH_BITS, spread: f
 
     parts = docs.select("_text").mapInArrow(count, "c int, counts binary").repartition(CHUNKS, "c")
     rows = parts.mapInArrow(merge, "c int, total long, counts binary").collect()  # CHUNKS rows, 4 * 2**bits bytes at most
-    out, mean = np.zeros(1 << bits, bool), sum(r["total"] for r in rows) / (1 << bits)
+    out, mean = np.zeros(1 << bits), sum(r["total"] for r in rows) / (1 << bits)
     for r in rows:
-        out[r["c"] * step : (r["c"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32) > mean + spread * max(1.0, mean) ** 0.5
-    return out
+        out[r["c"] * step : (r["c"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    return np.clip(128 + 8 * (out - mean) / max(1.0, mean) ** 0.5, 0, 255).astype(np.uint8)
 
 
 def need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -105,13 +102,13 @@ def _folded(words: np.ndarray, size: int) -> np.ndarray:
     return words
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bits: int) -> DataFrame:
+def signatures(docs: DataFrame, levels: np.ndarray, n: int, percent: int, bits: int) -> DataFrame:
     """(doc_id, tk: hash of the text, size, cid: hash of the set, toks: indexed shingles in order, bits: parities)."""
-    held = shared(docs, np.packbits(frequent))
-    # the sign of a token says whether it is frequent
+    held = shared(docs, levels)
+    often = np.uint64(FREQUENT << 55)
 
     def run(batches):
-        flags = np.unpackbits(held.value).astype(bool)
+        level = held.value.astype(np.uint64) << np.uint64(55)
         for b in batches:
             size, cid, toks, bits_, wide = [], [], [], [], []
             for _, _, sets in _sets(b.column("_text"), n):
@@ -123,11 +120,10 @@ def signatures(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, bits
                     bits_.append(np.packbits(_folded(odd, BITS)).tobytes())
                     cid.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
                     p = len(x) - (-(-len(x) * percent // 100)) + 1 if len(x) else 0
-                    hot = flags[(x >> np.uint64(64 - bits)).astype(np.int64)]
-                    head = x[~hot][:p]
-                    if len(head) < p:
-                        head = np.concatenate([head, x[hot][: p - len(head)]])
-                    toks.append((head >> np.uint64(1) | (flags[(head >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(63))).view(np.int64))
+                    # a token is the level and the hash; the sign says that it is frequent
+                    t = level[(x >> np.uint64(64 - bits)).astype(np.int64)] | (x >> np.uint64(9))
+                    t = np.sort(np.partition(t, p - 1)[:p]) if p else t
+                    toks.append((t | ((t >= often).astype(np.uint64) << np.uint64(63))).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64)))
             yield pa.record_batch([b.column("doc_id"), b.column("tk"), pa.array(size, pa.int32()), pa.array(cid, pa.int64()), lists, pa.array(bits_, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "tk", "size", "cid", "toks", "bits", "wide"])
@@ -355,8 +351,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, text: str = "t
     """doc_id, tk (hash of the text), n_shingles, component_id for every row of ``docs``.  ``trace(name, frame)`` sees the steps, for tests."""
     trace = trace or (lambda name, frame: None)
     d = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tk"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    frequent = frequent_buckets(d, n)
-    sig = cut(signatures(d, frequent, n, percent, SKETCH_BITS))
+    sig = cut(signatures(d, bucket_levels(d, n), n, percent, SKETCH_BITS))
     full = sig.filter("size > 0").groupBy("cid")
     classes = cut(full.agg(F.min("doc_id").alias("least"), F.min(F.struct("tk", "doc_id")).alias("one"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     entries = full.agg(F.first("size").alias("size"), F.first("toks").alias("toks")).select("cid", "size", F.posexplode("toks").alias("pos", "tok"))
