@@ -89,10 +89,6 @@ def _hex(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
 
-def _stream(key: str, k: Column, c: Column, a: Column, n: int = 2) -> Column:
-    return F.concat(*[_hex(key, k, c, a, F.lit(i)) for i in range(n)])
-
-
 def _number(h: Column, at: int, size: int = 6) -> Column:
     """A whole number from hexadecimal digits of ``h``."""
     return F.conv(F.substring(h, at, size), 16, 10).cast("long")
@@ -117,11 +113,26 @@ def _luhn(first15: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` written and computed once, which keeps the plan small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def surrogate(k: Column, m: Column, attempt: Column, key: str) -> Column:
     """The replacement of mention ``m`` of type ``k``; it depends on the canonical form, the format on the mention."""
-    c = canonical(k, m)
-    h = _stream(key, k, c, attempt)
-    digits = F.regexp_replace(_stream(key, k, c, attempt, 3), "[a-f]", "")  # uniform decimal digits, about 120
+
+    def streams(x: Column) -> Column:
+        h = [_hex(key, x["k"], x["c"], x["a"], F.lit(i)) for i in range(3)]
+        # digits: uniform decimal digits, about 120
+        return F.struct(x["k"].alias("k"), x["m"].alias("m"), x["c"].alias("c"), F.concat(h[0], h[1]).alias("h"), F.regexp_replace(F.concat(*h), "[a-f]", "").alias("d"))
+
+    start = F.struct(k.alias("k"), m.alias("m"), canonical(k, m).alias("c"), attempt.alias("a"))
+    return _let(start, lambda x: _let(streams(x), _rendered))
+
+
+def _rendered(x: Column) -> Column:
+    """The surrogate from type, mention, canonical form, hexadecimal and decimal digits."""
+    k, m, c, h, digits = (x[n] for n in ("k", "m", "c", "h", "d"))
     card = F.concat(F.substring(c, 1, 1), F.substring(digits, 1, 14))
     prefix = F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(-])", 1)
     phone = F.concat(prefix, (_number(h, 1) % 8 + 2).cast("string"), F.substring(digits, 1, 30))
