@@ -127,7 +127,8 @@ def exchange(counts: np.ndarray, words: int, classes: int, sweeps: int = 6) -> n
             n[g] -= after
             n[:, g] -= before
             n[g, g] -= self_
-            rows, cols = n.sum(axis=1), n.sum(axis=0)
+            # margins with w's own neighbours counted, wherever w goes
+            rows, cols = n.sum(axis=1) + before, n.sum(axis=0) + after
             # the gain of putting w into class k: row k, column k, their crossing, and the two margins
             gain = (phi(n + after) - phi(n)).sum(axis=1) + (phi(n.T + before) - phi(n.T)).sum(axis=1)
             d = np.diag(n)

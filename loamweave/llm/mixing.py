@@ -6,8 +6,8 @@
 2. Blocks.  A source's documents fall by a keyed hash into ``2**block_bits`` blocks, and an affine
    permutation, keyed by source, orders the blocks.  Each whole repetition takes all blocks; the
    last, partial one takes the first blocks of the permutation up to the target.  Inside the one
-   block where the target falls, documents are taken in hash order; the gap that is left gets the
-   one further document that fits it best.  Documents are always taken whole.
+   block where the target falls, documents are taken in hash order; the gap that is left gets
+   the further document that fits it best, ``fits`` times over.  Documents are always taken whole.
 3. Splitting tree.  Block draws are exact quotas per source.  A node's quotas are halved by a
    multivariate hypergeometric draw (per source a hypergeometric count given what the sources before
    it took), and so on down to the ``2**depth`` output shards.  Offsets in the permuted order make
@@ -105,7 +105,7 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return node.select("shard", "quotas")
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = 3.0, block_bits: int = 10, depth: int = 4, seed: int = 8) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = 3.0, block_bits: int = 10, depth: int = 4, seed: int = 8, fits: int = 4) -> DataFrame:
     """A row for each document: doc_id, src, size, source_size, target, taken, copies, shards (one per copy)."""
     n = 1 << block_bits
     d = docs.select("doc_id", F.col("source").alias("src"), _size(F.col("text")).alias("size"))
@@ -136,10 +136,12 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: floa
     first = (F.col("size") > 0) & (F.coalesce(F.col("_rank") < F.col("edge"), F.lit(False)) | F.col("_i").isNotNull())
     d = d.withColumn("_part", first).drop("_i")
     off = F.abs(F.col("gap") - F.col("size"))
-    fit = d.filter(~F.col("_part") & (F.col("size") > 0)).join(small(left), same("src", "_g")).filter(off < F.col("gap"))
-    fit = fit.groupBy("src").agg(F.min_by("_row", F.struct(off, F.xxhash64(F.lit(seed + 4), "doc_id"), F.col("_row"))).alias("_f")).select("_f")
-    fit = cut(fit)
-    d = d.join(small(fit), F.col("_row") == F.col("_f"), "left").withColumn("_part", F.col("_part") | F.col("_f").isNotNull())
+    for i in range(fits):
+        fit = d.filter(~F.col("_part") & (F.col("size") > 0)).join(small(left), same("src", "_g")).filter(off < F.col("gap"))
+        fit = fit.groupBy("src").agg(F.min_by(F.struct("_row", "size"), F.struct(off, F.xxhash64(F.lit(seed + 40 + i), "doc_id"), F.col("_row"))).alias("x"))
+        fit = cut(fit.select(F.col("src").alias("_fs"), F.col("x._row").alias("_f"), F.col("x.size").alias("_fz")))
+        d = d.join(small(fit.select("_f")), F.col("_row") == F.col("_f"), "left").withColumn("_part", F.col("_part") | F.col("_f").isNotNull()).drop("_f")
+        left = cut(left.join(fit, same("_g", "_fs"), "left").select("_g", (F.col("gap") - F.coalesce("_fz", F.lit(0))).alias("gap")))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("_part").cast("int")).otherwise(0).cast("int")
     # block draws: all blocks of the whole repetitions, then those up to the edge
     q = t.join(edge, same("src", "_e"), "left").select("src", (F.col("whole") * n + F.coalesce(F.col("edge") + 1, F.lit(0))).cast("int").alias("q"))
