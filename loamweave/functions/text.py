@@ -48,14 +48,12 @@ def number_kind(a: Column, b: Column) -> Column:
     diff = F.abs(a.try_cast("decimal(38,0)") - b.try_cast("decimal(38,0)"))
     place = lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))
     changed = F.filter(F.sequence(F.lit(1), F.greatest(la, F.lit(1))), place)
-    i = F.get(changed, F.lit(0))
-    one = lambda s, k: F.substr(s, k, F.lit(1))
-    swapped = (F.size(changed) == 2) & (F.get(changed, F.lit(1)) == i + 1) & (one(a, i) == one(b, i + 1)) & (one(a, i + 1) == one(b, i))
+    letters = lambda x: F.array_sort(F.split(x, ""))
     long, short = F.when(la > lb, a).otherwise(b), F.when(la > lb, b).otherwise(a)
     lost = F.exists(F.sequence(F.lit(1), F.greatest(la, lb)), lambda k: F.concat(F.substr(long, F.lit(1), k - 1), F.substr(long, k + 1, F.length(long))) == short)
     return (
         F.when(a.isNull() | b.isNull() | (la == 0) | (lb == 0), "na").when(a == b, "same").when(n(a) == n(b), "zeros")
-        .when((la == lb) & swapped, "transposed").when((F.abs(la - lb) == 1) & lost, "digit_added_or_lost")
+        .when((la == lb) & (letters(a) == letters(b)), "transposed").when((F.abs(la - lb) == 1) & lost, "digit_added_or_lost")
         .when((la == lb) & (F.size(changed) == 1) & (diff <= 9), "one_digit_sub_small").when((la == lb) & (F.size(changed) == 1), "one_digit_sub_big")
         .when(diff <= 20, "near_value").otherwise("far")
     )
