@@ -177,3 +177,45 @@ def attribution(truth: DataFrame, blocked: DataFrame, kept: DataFrame, selected:
     lost = t.select(F.when(F.col("s").isNotNull(), "found").when(F.col("b").isNull(), "blocking").when(F.col("k").isNull(), "filter").otherwise("decision").alias("stage"))
     false = selected.select("s1_id", "cand_id").distinct().join(truth, ["s1_id", "cand_id"], "left_anti").select(F.lit("false").alias("stage"))
     return lost.unionByName(false).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_kind(selected: DataFrame, owned: DataFrame, countries: list[str], neighbour: list[str], typo: list[str], low: float, threshold: float) -> DataFrame:
+    """The selection without neighbours' numbers in ``countries``, and with typing errors of scores in [low, threshold).
+
+    ``owned`` has country, prob and kind (of the change of number; '' where numbers do not conflict).
+    """
+    kind = owned.select("s1_id", "cand_id", "country", "kind", "prob")
+    bad = kind.filter(F.col("country").isin(countries) & F.col("kind").isin(neighbour)).select("s1_id", "cand_id")
+    more = kind.filter((F.col("prob") >= low) & (F.col("prob") < threshold) & F.col("kind").isin(typo)).select("s1_id", "cand_id")
+    return selected.select("s1_id", "cand_id").join(bad, ["s1_id", "cand_id"], "left_anti").union(more).distinct()
+
+
+def conflict_select(owned: DataFrame, base: float, strict: float) -> DataFrame:
+    """Pairs above ``base``, or above ``strict`` where their numbers conflict."""
+    return owned.filter(F.when(F.col("conflict"), F.col("prob") >= strict).otherwise(F.col("prob") >= base)).select("s1_id", "cand_id")
+
+
+def expected_macro(universe: DataFrame, pairs: DataFrame, selected: DataFrame, miss: float) -> DataFrame:
+    """The expected macro F0.5 of a selection from calibrated scores pc; ``miss`` is the number of true pairs an entity has outside the pairs."""
+    total = pairs.groupBy("s1_id").agg(F.sum("pc").alias("t"), F.sum(F.log(1 - F.col("pc"))).alias("none"))
+    chosen = selected.groupBy("s1_id").agg(F.sum("pc").alias("tp"), F.count(F.lit(1)).alias("k"))
+    d = universe.select("s1_id").join(total, "s1_id", "left").join(chosen, "s1_id", "left").na.fill(0, ["t", "none", "tp", "k"])
+    f = F.when(F.col("k") > 0, 1.25 * F.col("tp") / (0.25 * (F.col("t") + miss) + F.col("k"))).otherwise(F.exp(F.col("none") - miss))
+    return d.agg(F.round(F.avg(f), 6).alias("expected_f05"))
+
+
+def order_cut(pairs: DataFrame, keep: float, score: str = "prob") -> DataFrame:
+    """The score above which the share ``keep`` of the labelled true pairs lies: an order statistic, not interpolated."""
+    t = pairs.filter("label = 1").select(F.col(score).alias("v"), F.floor(F.col(score) * 1000).alias("b"))
+    # at most 1,001 bands are ordered to find the band of the place; only its own values are ranked
+    bands_ = t.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    run = bands_.withColumn("upto", F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(1 - keep)))
+    band = run.filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select("b", (F.col("at") - F.col("upto") + F.col("n") + 1).alias("place"))
+    values = t.join(F.broadcast(band), "b").groupBy("b", "place", "v").agg(F.count(F.lit(1)).alias("n"))
+    values = values.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return values.filter(F.col("upto") >= F.col("place")).agg(F.min("v").alias("cutoff"))
+
+
+def target_threshold(pairs: DataFrame, wanted: int) -> DataFrame:
+    """The score of the pair at the place ``wanted`` (from 0) in descending order."""
+    return pairs.select("prob").orderBy(F.desc("prob")).limit(wanted + 1).agg(F.min("prob").alias("threshold"))

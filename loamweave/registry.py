@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import blocking, decide
-from .plans import views
+from .plans import linkage, views
 from .sources import idlists
 
 EDGES = [0.3, 0.5, 0.7, 0.9, 0.97]
@@ -126,7 +126,7 @@ def queries() -> dict[str, Query]:
         "number_kinds": _numbers,
         "id_lists": _lists,
         "validator": _problems,
-    }
+    } | linkage.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -199,4 +199,4 @@ SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(t, '[^a-z0-
 array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END))), ',') AS nums, regexp_matches(t, '[^\x{0000}-\x{024F}]') AS non_latin FROM d""",
         "id_lists": f"{w} SELECT u.s1_id, coalesce(ids, '') AS ids FROM universe u LEFT JOIN (SELECT s1_id, string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY CAST(cand_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT s1_id, cand_id FROM chosen) GROUP BY 1) x USING (s1_id)",
         "validator": f"{w} SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('missing'), ('extra'), ('repeated_key'), ('repeated_id'), ('outside')) r(rule)",
-    }
+    } | linkage.oracle_sql()
