@@ -10,14 +10,17 @@ before its first word.  Counts cover every training text:
    mutual information of adjacent classes most, until a sweep changes nothing or ``sweeps`` are done;
    the pseudo words are classes of their own;
    Words seen once always belong to the tail, so that its class has the contexts of rare words;
-4. P(word | before) = P(class | class before) * P(word | class), both with added counts.
+4. every other head word is placed: its bigrams with the classes are counted over all training texts,
+   and it joins the class for which they raise that information most (``place``);
+5. bigrams of classes are counted again, with the classes of all head words;
+6. P(word | before) = P(class | class before) * P(word | class), both with added counts.
 
 Scoring looks up the ``head`` most frequent words in a table of bounded size.  All other words, known
 or not, form the tail class: their numbers per text are added up at once, and their counts come from
 an exact join of (text, word, occurrences) with the word counts.
 
-Bounds: ``head`` words of 16 bytes are broadcast; ``(cluster + 3) ** 2`` bigram counts at most come to
-the driver.  The words of a text are never cut or sampled.
+Bounds: ``head`` words of 16 bytes are broadcast; ``(cluster + 3) ** 2`` bigram counts at most and a
+class for each head word come to the driver.  The words of a text are never cut or sampled.
 
 Defined results: null text: the end token alone.  Empty training: all counts 0, V is 0, score equals
 the smoothed model without data.  Null id: not held out and not learned from.  Repeated rows are
@@ -69,28 +72,30 @@ def _merge(got: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return k, np.bincount(where, np.concatenate([x for _, x in got]), len(k)).astype(np.int64)
 
 
-def _ids(data, bounds, lookup: ta.Lookup, top: int, n_head: int):
-    """Ids of a slice's words with an end before each text and after the last: 0..top-1 frequent, top: other head, top + 1: tail, top + 2: end."""
+def _ids(data, bounds, lookup: ta.Lookup, ids: np.ndarray, end: int):
+    """Word boundaries of texts, hashes, ranks in the head or -1, places in the sequence, and the sequence: ids of
+    a slice's words with ``end`` before each text and after the last.  ``ids`` has the tail's id, then the head's in order."""
     s, e, at = ta.words(data, bounds)
     h = ta.word_hashes(data, s, e)
     r = lookup.find(h)
-    ids = np.where(r < 0, top + 1, np.minimum(r, top))
     docs = len(bounds) - 1
-    seq = np.full(len(ids) + docs + 1, top + 2, np.int64)
-    seq[np.arange(len(ids)) + np.repeat(np.arange(docs), np.diff(at)) + 1] = ids
-    return s, e, at, h, r, ids, seq
+    seq = np.full(len(r) + docs + 1, end, np.int64)
+    where = np.arange(len(r)) + np.repeat(np.arange(docs), np.diff(at)) + 1
+    seq[where] = ids[r + 1]
+    return at, h, r, where, seq
 
 
-def bigrams(train: DataFrame, lookup: ta.Lookup, top: int) -> DataFrame:
-    """(a int, b int, n long): adjacent ids, counted over all training texts."""
-    held = shared(train, lookup)
-    width = top + 3
+def bigrams(train: DataFrame, lookup: ta.Lookup, ids: np.ndarray, end: int) -> np.ndarray:
+    """Counts of adjacent ids (0 to ``end``) over all training texts."""
+    held = shared(train, (lookup, ids))
+    width = end + 1
 
     def run(batches):
+        look, table = held.value
         for batch in batches:
             got = []
             for _, _, data, bounds in ta.slices(batch.column("_text")):
-                seq = _ids(data, bounds, held.value, top, 0)[6]
+                seq = _ids(data, bounds, look, table, end)[4]
                 got.append(np.unique(seq[:-1] * width + seq[1:], return_counts=True))
                 if sum(len(k) for k, _ in got) > 1 << 20:
                     got = [_merge(got)]
@@ -98,7 +103,96 @@ def bigrams(train: DataFrame, lookup: ta.Lookup, top: int) -> DataFrame:
             if len(k):
                 yield pa.record_batch([pa.array((k // width).astype(np.int32)), pa.array((k % width).astype(np.int32)), pa.array(c)], names=["a", "b", "n"])
 
-    return train.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    b = train.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros((width, width))
+    m[b.column("a").to_numpy(), b.column("b").to_numpy()] = b.column("n").to_numpy()
+    return m
+
+
+def _phi(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def contexts(train: DataFrame, lookup: ta.Lookup, ids: np.ndarray, top: int, end: int) -> DataFrame:
+    """(w int: rank of a head word from ``top`` on, x: its neighbours as (g, n)): g is the id after it, or end + 1 + the id before it."""
+    held = shared(train, (lookup, ids))
+    width = 2 * (end + 1)
+
+    def batch_of(got):
+        k, c = _merge(got)
+        return pa.record_batch([pa.array((k // width).astype(np.int32)), pa.array((k % width).astype(np.int32)), pa.array(c)], names=["w", "g", "n"])
+
+    def run(batches):
+        look, table = held.value
+        got = []
+        for batch in batches:
+            for _, _, data, bounds in ta.slices(batch.column("_text")):
+                _, _, r, where, seq = _ids(data, bounds, look, table, end)
+                far = r >= top
+                w, p = r[far].astype(np.int64) * width, where[far]
+                got.append(np.unique(np.concatenate([w + seq[p + 1], w + end + 1 + seq[p - 1]]), return_counts=True))
+                if sum(len(k) for k, _ in got) > 1 << 21:
+                    got = [_merge(got)]
+                    if len(got[0][0]) > 1 << 20:
+                        yield batch_of(got)
+                        got = []
+        if got:
+            yield batch_of(got)
+
+    n = train.mapInArrow(run, "w int, g int, n long").groupBy("w", "g").agg(F.sum("n").alias("n"))
+    return n.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("g", "n"))).alias("x"))
+
+
+def gains(n: np.ndarray, classes: int, row: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What each word (0 to row[-1]) would add to the information in each of the first ``classes`` classes.
+
+    ``n``: bigram counts of ``classes`` classes and three pseudo classes, of which the first holds all the
+    words to be placed.  Word ``row`` has ``c`` neighbours ``g``, as in ``contexts``; rows are in order.
+    """
+    width, words = len(n), row[-1] + 1
+    side, g = g // width, g % width
+    after, before = np.zeros((words, width)), np.zeros((words, width))
+    after[row[side == 0], g[side == 0]] = c[side == 0]
+    before[row[side == 1], g[side == 1]] = c[side == 1]
+    x = np.where((side == 0)[:, None], n[:classes, g].T, n[g, :classes])
+    # without the word in its pseudo class
+    x -= np.where((g == classes)[:, None], np.where((side == 0)[:, None], before[row, :classes], after[row, :classes]), 0)
+    out = np.add.reduceat(_phi(x + c[:, None]) - _phi(x), np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
+    a, b, d = after[:, :classes], before[:, :classes], np.diag(n)[:classes]
+    out += _phi(d + a + b) - _phi(d + a) - _phi(d + b) + _phi(d)
+    for margin, more in ((n.sum(axis=1)[:classes], after), (n.sum(axis=0)[:classes], before)):
+        out -= _phi(margin + more.sum(axis=1, keepdims=True)) - _phi(margin)
+    return out
+
+
+def place(train: DataFrame, lookup: ta.Lookup, size: int, top: int, cls: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class of each of the ``size`` head words: that of ``cls`` for the first ``top``, the best by ``gains`` for the others."""
+    if size == top:
+        return cls[:top]
+    one = np.eye(int(cls.max()) + 1)[cls]
+    classes, end = int(cls[top]), int(cls[top + 2])
+    ids = np.concatenate([[cls[top + 1]], cls[np.minimum(np.arange(size), top)]])
+    held = shared(train, one.T @ m @ one)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column("x")
+            flat = lists.flatten()
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            g, c = flat.field("g").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float)
+            best = np.empty(b.num_rows, np.int32)
+            for i in range(0, b.num_rows, 1000):
+                at = slice(*np.searchsorted(row, [i, i + 1000]))
+                best[i : i + 1000] = gains(held.value, classes, row[at] - i, g[at], c[at]).argmax(axis=1)
+            yield pa.record_batch([b.column("w"), pa.array(best)], names=["w", "k"])
+
+    found = contexts(train, lookup, ids, top, end).mapInArrow(run, "w int, k int").toArrow()  # head rows of 8 bytes at most
+    out = np.full(size, -1, np.int64)
+    out[:top] = cls[:top]
+    out[found.column("w").to_numpy()] = found.column("k").to_numpy()
+    return out
 
 
 def exchange(counts: np.ndarray, words: int, classes: int, sweeps: int = 6) -> np.ndarray:
@@ -115,7 +209,7 @@ def exchange(counts: np.ndarray, words: int, classes: int, sweeps: int = 6) -> n
     one[np.arange(size), cls] = 1
     left, right = c @ one, (one.T @ c).T  # of each id: counts of the classes after and before it
     n = one.T @ left
-    phi = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    phi = _phi
     for _ in range(sweeps):
         moved = 0
         for w in range(words):
@@ -153,23 +247,19 @@ def exchange(counts: np.ndarray, words: int, classes: int, sweeps: int = 6) -> n
 class Model:
     """What scoring needs: the head's lookup and counts, classes, log10 transitions and class sizes."""
 
-    def __init__(self, lookup: ta.Lookup, counts: np.ndarray, top: int, cls: np.ndarray, bigram: np.ndarray, n: int, v: int, ends: int):
-        self.lookup, self.counts, self.top, self.cls = lookup, counts, top, cls
-        self.n, self.v, self.ends = n, v, ends
-        k = int(cls.max()) + 1
-        one = np.zeros((len(cls), k))
-        one[np.arange(len(cls)), cls] = 1
-        pair = one.T @ bigram @ one
+    def __init__(self, lookup: ta.Lookup, counts: np.ndarray, cls: np.ndarray, pair: np.ndarray, n: int, v: int, ends: int):
+        """``cls``: a class for each head word; ``pair``: counts of adjacent classes, the last two the tail and the end."""
+        self.lookup, self.counts, self.n, self.v, self.ends = lookup, counts, n, v, ends
+        k, tail, self.end = len(pair), len(pair) - 2, len(pair) - 1
+        self.ids = np.concatenate([[tail], cls]).astype(np.int64)
         back = (pair.sum(axis=0) + 1) / (pair.sum() + k)
         self.step = np.log10((pair + 5 * back) / (pair.sum(axis=1, keepdims=True) + 5))
-        in_class = np.bincount(cls[np.minimum(np.arange(len(counts)), top)], counts, k)
-        kinds = np.bincount(cls[np.minimum(np.arange(len(counts)), top)], minlength=k)
+        in_class, kinds = np.bincount(cls, counts, k), np.bincount(cls, minlength=k)
         # the tail's words are the rest, plus one place for all unknown words; the end is alone in its class
-        tail = cls[top + 1]
         in_class[tail], kinds[tail] = max(0, n - ends - counts.sum()), max(0, v - len(counts) - (ends > 0)) + 1
-        in_class[cls[top + 2]], kinds[cls[top + 2]] = ends, 1
+        in_class[self.end], kinds[self.end] = ends, 1
         self.size = in_class + ADD * kinds
-        self.emit = np.log10(counts + ADD) - np.log10(self.size[cls[np.minimum(np.arange(len(counts)), top)]]) if len(counts) else np.zeros(0)
+        self.emit = np.log10(counts + ADD) - np.log10(self.size[cls]) if len(counts) else np.zeros(0)
         self.tail_size = float(np.log10(self.size[tail]))
         self.base_size = float(np.log10(n + ADD * (v + 1)))
         self.base = np.log10(counts + ADD) - self.base_size if len(counts) else np.zeros(0)
@@ -194,11 +284,13 @@ def learn(docs: DataFrame, modulus: int = 10, held: int = 0, head: int = HEAD, c
     rows = rows.sort_by([("n", "descending"), ("w", "ascending")])
     hashes, n = rows.column("w").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(float)
     lookup, top = ta.Lookup(hashes), min(cluster, len(hashes))
-    m = np.zeros((top + 3, top + 3))
-    b = bigrams(train, lookup, top).toArrow()
-    m[b.column("a").to_numpy(), b.column("b").to_numpy()] = b.column("n").to_numpy()
+    ids = np.concatenate([[top + 1], np.minimum(np.arange(len(hashes)), top)])
+    m = bigrams(train, lookup, ids, top + 2)
     cls = exchange(m, top, min(classes, max(1, top)))
-    return Model(lookup, n, top, cls, m, words + ends, kinds + (ends > 0), ends), counts
+    k = int(cls[top])
+    cls = place(train, lookup, len(hashes), top, cls, m)
+    pair = bigrams(train, lookup, np.concatenate([[k], cls]), k + 1)
+    return Model(lookup, n, cls, pair, words + ends, kinds + (ends > 0), ends), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -209,14 +301,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches):
         m = held.value
         end_base = np.log10(m.ends + ADD) - m.base_size
-        end_emit = np.log10(m.ends + ADD) - np.log10(m.size[m.cls[m.top + 2]])
+        end_emit = np.log10(m.ends + ADD) - np.log10(m.size[m.end])
         for batch in batches:
             cols = [[] for _ in range(6)]
             for i, j, data, bounds in ta.slices(batch.column("_text")):
-                _, _, at, h, r, ids, seq = _ids(data, bounds, m.lookup, m.top, 0)
-                k = m.cls[seq]
+                at, h, r, _, k = _ids(data, bounds, m.lookup, m.ids, m.end)
                 step = np.concatenate([[0.0], np.cumsum(m.step[k[:-1], k[1:]])])
-                places = at + np.arange(len(at))  # of the end tokens in seq
+                places = at + np.arange(len(at))  # of the end tokens in k
                 known = r >= 0
                 emit, base = np.zeros(len(r) + 1), np.zeros(len(r) + 1)
                 if len(r):
