@@ -42,7 +42,7 @@ MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|господин", "Mrs|Ms|Miss|Frau|
 NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ANY = "|".join([EMAIL, SECRET, ACCESS_KEY, CARD, IP, SSN, PHONE, NAME])
 #: A cheap test that every text with an entity passes; the long pattern is tried on no other.
-DIGITS, TITLE = r"\d{3}|\d\.\d{1,3}\.\d", r"(?<![\p{L}])[MHFSг](?:rs?|s|iss|err|rau|onsieur|adame|me|eñora?|ra?|осподин|оспожа)\.? \p{Lu}"
+DIGITS, TITLE = r"\d{3}|\d\.\d{1,3}\.\d|\+\d", r"(?<![\p{L}])[MHFSг](?:rs?|s|iss|err|rau|onsieur|adame|me|eñora?|ra?|осподин|оспожа)\.? \p{Lu}"
 # Given names and syllables of surnames, by gender and script.
 GIVEN = {
     ("m", "latin"): "Adrian Bruno Carl Daniel Emil Felix Gustav Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul".split(),
