@@ -49,6 +49,15 @@ def _near_copies(s: SparkSession, d: str) -> DataFrame:
     return blocking.key_pass(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1"))
 
 
+def _copies(s: SparkSession, d: str) -> DataFrame:
+    """View B: the first document of each text and language among the others of its language, by their whole normalised texts (capped)."""
+    text = F.col("text")
+    whole = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}0-9]+", " "))
+    docs = views.table(s, d, "documents").select(F.coalesce("lang", F.lit("")).alias("part"), F.col("doc_id").alias("id"), F.md5(text).alias("same"), F.md5(F.when(whole != "", whole).otherwise(text)).alias("key"))
+    first = docs.groupBy("part", "same").agg(F.min("id").alias("id")).select("id")
+    return blocking.key_pass(docs.join(first, "id", "left_semi"), docs.join(first, "id", "left_anti"))
+
+
 def _merged(s: SparkSession, d: str) -> DataFrame:
     p = views.pairs(s, d)
     top = p.filter("prob >= 0.4").select("s1_id", "cand_id", F.col("prob").alias("cos"), F.col("label").alias("rank"))
@@ -102,6 +111,7 @@ def queries() -> dict[str, Query]:
     return {
         "tfidf_topk": _tfidf,
         "key_pass_capped": _near_copies,
+        "key_pass_copies": _copies,
         "merge_candidates": _merged,
         "blocking_recall": lambda s, d: blocking.recall(_truth(p(s, d)), p(s, d).filter("prob >= 0.4")),
         "competition_features": lambda s, d: decide.competition(p(s, d)),
@@ -151,6 +161,9 @@ c AS (SELECT qw.id AS s1_id, pw.id AS cand_id, round(sum(qw.w * pw.w), 6) AS cos
 SELECT s1_id, cand_id, cos, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, cand_id) AS INTEGER) AS rank FROM c WHERE cos > 0 QUALIFY rank <= 20""",
         "key_pass_capped": """WITH d AS (SELECT lang AS part, doc_id AS id, lower(text[1:60]) AS key FROM documents), p AS (SELECT * FROM d WHERE id % 2 = 1), few AS (SELECT part, key FROM p GROUP BY 1, 2 HAVING count(*) <= 20)
 SELECT DISTINCT q.id AS s1_id, p.id AS cand_id FROM d q JOIN p ON q.part = p.part AND q.key = p.key JOIN few ON p.part = few.part AND p.key = few.key WHERE q.id % 2 = 0""",
+        "key_pass_copies": r"""WITH d AS (SELECT coalesce(lang, '') AS part, doc_id AS id, md5(text) AS same, md5(coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}0-9]+', ' ', 'g')), ''), text)) AS key FROM documents),
+f AS (SELECT min(id) AS id FROM d GROUP BY part, same), p AS (SELECT * FROM d WHERE id NOT IN (SELECT id FROM f)), few AS (SELECT part, key FROM p GROUP BY 1, 2 HAVING count(*) <= 20)
+SELECT DISTINCT q.id AS s1_id, p.id AS cand_id FROM d q JOIN p ON q.part = p.part AND q.key = p.key JOIN few ON p.part = few.part AND p.key = few.key WHERE q.id IN (SELECT id FROM f)""",
         "merge_candidates": f"""{w} SELECT s1_id, cand_id, coalesce(t.prob, 0.0) AS cos, coalesce(t.label, 21) AS rank, coalesce(f.via_key, 0) AS via_key, coalesce(f.via_compact, 0) AS via_compact
 FROM (SELECT * FROM pairs WHERE prob >= 0.4) t FULL JOIN (SELECT s1_id, cand_id, CAST(nk = 'A' AS INTEGER) AS via_key, CAST(nc = 'O' AS INTEGER) AS via_compact FROM pairs WHERE prob < 0.6) f USING (s1_id, cand_id)""",
         "blocking_recall": f"{w} SELECT count(*) FILTER (prob >= 0.4) AS found, count(*) AS total, round(count(*) FILTER (prob >= 0.4) / count(*), 6) AS recall FROM pairs WHERE label = 1",
