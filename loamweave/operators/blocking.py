@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,23 @@ def key_pass(queries: DataFrame, pool: DataFrame, cap: int = 20) -> DataFrame:
     return queries.withColumnRenamed("id", "s1_id").join(p, ["part", "key"]).select("s1_id", "cand_id").distinct()
 
 
+def record_passes(queries: DataFrame, pool: DataFrame, cap: int = 20) -> DataFrame:
+    """(s1_id, cand_id, via_addr_key, via_compact, via_empty_addr) of normalised records, by three key passes per country.
+
+    An address key must hold a digit and two blanks on both sides, a query's compact name six characters;
+    the name key is tried on pool rows without an address.  Empty keys meet nothing.
+    """
+    place = F.col("addr_key").rlike("[0-9]") & F.col("addr_key").rlike(" .* ")
+    passes = {
+        "via_addr_key": ("addr_key", queries.filter(place), pool.filter(place)),
+        "via_compact": ("name_compact", queries.filter(F.length("name_compact") >= 6), pool),
+        "via_empty_addr": ("name_key", queries, pool.filter("addr_norm = ''")),
+    }
+    side = lambda d, key: d.filter(F.col(key) != "").select(F.col("country").alias("part"), F.col("entity_id").alias("id"), F.col(key).alias("key"))
+    found = [key_pass(side(q, key), side(p, key), cap).select("s1_id", "cand_id", *[F.lit(int(f == flag)).alias(f) for f in passes]) for flag, (key, q, p) in passes.items()]
+    return reduce(DataFrame.unionByName, found).groupBy("s1_id", "cand_id").agg(*[F.max(f).alias(f) for f in passes])
+
+
 def merge_candidates(top: DataFrame, flagged: DataFrame, flags: list[str], k: int = 20) -> DataFrame:
     """Full outer union of ranked pairs and flagged pairs; new pairs get cos 0 and rank k + 1, missing flags 0."""
     f = flagged.groupBy("s1_id", "cand_id").agg(*[F.max(c).alias(c) for c in flags])

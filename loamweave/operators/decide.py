@@ -107,13 +107,16 @@ def density(val: DataFrame, test: DataFrame, edges: list[float]) -> DataFrame:
     """(country, band, rate): precision of a test band from the true pairs per entity on labelled data.
 
     rate = (true per entity on val) / (pairs per entity on test), at most 1; entities are all of the country.
+    A country without labelled pairs takes the mean of the labelled countries in the band.
     """
     def per(d: DataFrame, what: Column, name: str) -> DataFrame:
         n = d.groupBy("country").agg(F.countDistinct("s1_id").alias("n"))
         return d.groupBy("country", bands(F.col("prob"), edges, True).alias("band")).agg(F.sum(what).alias("x")).join(n, "country").select("country", "band", (F.col("x") / F.col("n")).alias(name))
 
     v, t = per(val, F.col("label"), "v"), per(test, F.lit(1), "t")
-    return t.join(v, ["country", "band"], "left").select("country", "band", F.round(F.least(F.coalesce(F.col("v"), F.lit(0.0)) / F.col("t"), F.lit(1.0)), 6).alias("rate"))
+    known, pooled = val.select("country").distinct().withColumn("known", F.lit(0.0)), v.groupBy("band").agg(F.avg("v").alias("pooled"))
+    j = t.join(v, ["country", "band"], "left").join(known, "country", "left").join(pooled, "band", "left")
+    return j.select("country", "band", F.round(F.least(F.coalesce("v", "known", "pooled", F.lit(0.0)) / F.col("t"), F.lit(1.0)), 6).alias("rate"))
 
 
 def group_rules(val: DataFrame, test: DataFrame, n_val: DataFrame, n_test: DataFrame, edges: list[float], rescue: float = 0.82, veto: float = 0.74, least_val: int = 100, least_test: int = 500) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import names as nm
-from ..operators import decide, features
+from ..operators import blocking, decide, features
 from . import views
 
 NATIVE = ["compact_eq", "name_jacc", "core_len_diff", "nums_jacc", "nums_conflict", "nums_q", "nums_c", "cand_addr_empty", "key_eq"]
@@ -75,6 +75,7 @@ def _expected(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "normalised_records": _records,
+        "record_key_passes": lambda s, d: blocking.record_passes(queries_side(s, d), pool_side(s, d)),
         "pair_features_native": lambda s, d: _ids(features.native(joined(s, d)), NATIVE),
         "pair_features_group": lambda s, d: _ids(features.group(joined(s, d)), GROUP),
         "pair_features_rarity": lambda s, d: _ids(features.rarity(joined(s, d), queries_side(s, d)), RARITY),
@@ -140,7 +141,15 @@ def oracle_sql() -> dict[str, str]:
     qn, cn = split("q_addr_nums"), split("c_addr_nums")
     freq = lambda f, s: f"coalesce((SELECT count(*) FROM rec WHERE side = 'q' AND rec.country = j.country AND rec.{f} = j.{s}_{f} AND rec.{f} <> ''), 0)"
     fam = lambda c: f"list_distinct(list_filter(list_transform({split(c)}, lambda x: {_map({nm.folded([k])[0]: v for k, v in lx.VETO_FAMILIES.items()})}[x]), lambda x: x IS NOT NULL))"
+    place = lambda x: f"regexp_matches({x}.addr_key, '[0-9]') AND length({x}.addr_key) - length(replace({x}.addr_key, ' ', '')) >= 2"
+    passes = {"via_addr_key": ("addr_key", place("q"), place), "via_compact": ("name_compact", "length(q.name_compact) >= 6", lambda x: "true"), "via_empty_addr": ("name_key", "true", lambda x: f"{x}.addr_norm = ''")}
+    met = " UNION ALL ".join(
+        f"""SELECT q.entity_id AS s1_id, c.entity_id AS cand_id, '{flag}' AS flag FROM rec q JOIN rec c ON q.country = c.country AND q.{key} = c.{key} WHERE q.side = 'q' AND c.side = 'c' AND q.{key} <> '' AND {of} AND {pool("c")}
+AND (c.country, c.{key}) IN (SELECT (country, {key}) FROM rec x WHERE side = 'c' AND {pool("x")} GROUP BY country, {key} HAVING count(*) <= 20)"""
+        for flag, (key, of, pool) in passes.items()
+    )
     return {
+        "record_key_passes": f"{n} SELECT s1_id, cand_id, {', '.join(f'CAST(bool_or(flag = {chr(39)}{f}{chr(39)}) AS INTEGER) AS {f}' for f in passes)} FROM ({met}) z GROUP BY 1, 2",
         "normalised_records": f"{n} SELECT side, entity_id, {', '.join(features.FIELDS)} FROM rec",
         "pair_features_native": f"""{n} SELECT s1_id, cand_id, CAST(q_name_compact = c_name_compact AND q_name_compact <> '' AS INTEGER) AS compact_eq, {jacc(split("q_name_core"), split("c_name_core"))} AS name_jacc,
 abs(length(q_name_core) - length(c_name_core)) AS core_len_diff, {jacc(qn, cn)} AS nums_jacc, CAST(len({qn}) > 0 AND len({cn}) > 0 AND len(list_intersect({qn}, {cn})) = 0 AS INTEGER) AS nums_conflict,
