@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, comp): for every id in an edge the smallest id it is connected with.
 
     Each step points the larger ids of a neighbourhood at its smallest; a neighbourhood is only ever
@@ -18,7 +18,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     pick = lambda d: d.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = cut(pick(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))))
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: every larger neighbour of u goes to u's minimum
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

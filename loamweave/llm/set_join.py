@@ -5,9 +5,11 @@ Two documents link when 100 * |x & y| >= percent * |x | y| for their sets of ``n
 1. Sets.  A shingle is a 64-bit hash.  Equal sets form one class (hash of the sorted shingles).
 2. Global order.  Documents are counted per hash bucket, over all documents; a set is ordered by the
    counts (as 256 levels around their mean) and the hash, so shingles that many documents share come
-   last.  Any one order is right; this one keeps index lists short.
+   last.  Any one order is right; this one keeps index lists short.  The buckets grow with the text
+   (one for about ``PER_BUCKET`` words, 2**26 at most, a byte each).
 3. Index.  The first ``size - ceil(size * percent) + 1`` shingles of a class are indexed with their
-   position: one of them is common to any two sets that link.
+   position: one of them is common to any two sets that link.  An entry stays only if a set of a
+   compatible size is next to it in its list, in the order of size.
 4. Answers from relations.  In each list the most central set (whose indexed shingles meet most other
    sets) is a hub for all that have a compatible size; the list's other sets are dealt with in the same
    way.  Pairs of hub and member are verified.  Members of a hub are so similar that their answers
@@ -15,7 +17,8 @@ Two documents link when 100 * |x & y| >= percent * |x | y| for their sets of ``n
    component is looked at again.
 5. What is left.  Lists that still hold sets of several components are read again, in blocks by
    position; a block is skipped as a whole when position and sizes bound the overlap below the need, and
-   pairs of one component are skipped.
+   pairs of one component are skipped.  Lists of frequent shingles are first dealt out by bands of
+   size, each with the band below it, as sets of further bands cannot link.
 
 Before a pair leaves a list, the parities of ``BITS`` shingle buckets are compared: each shingle that
 only one set has flips at most one parity, so more differing parities than differing shingles are
@@ -47,8 +50,8 @@ from . import textarrays as ta
 from .common import cut, id_type, shared
 from .components import components
 
-PERCENT, WORDS, SKETCH_BITS, CHUNKS, SALT, BITS = 90, 3, 20, 16, 32, 512
-FREQUENT = 128 + 6 * 8  # six roots above the mean: hardly by chance
+PERCENT, WORDS, PER_BUCKET, CHUNKS, SALT, BITS = 90, 3, 32, 16, 32, 256
+FREQUENT = 255  # sixteen roots above the mean: not by chance
 
 
 def _sets(column: pa.Array, n: int):
@@ -57,37 +60,73 @@ def _sets(column: pa.Array, n: int):
         yield i, j, ta.shingle_hashes(ta.word_hashes(data, s, e), at, n)
 
 
-def bucket_levels(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
+def bucket_bits(docs: DataFrame) -> int:
+    """Binary digits of the number of buckets, from the length of all texts."""
+    size = docs.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
+    return int(min(26, max(16, np.ceil(np.log2(size / 6 / PER_BUCKET + 1)))))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Counts, most of them small: which are above 0, what is above 1 of these as bytes, and the rest."""
+    some = x[x > 0] - 1
+    large = np.flatnonzero(some > 254)
+    low = np.minimum(some, 255).astype(np.uint8)
+    body = zlib.compress(low.tobytes(), 1) if len(low) else b""
+    return len(body).to_bytes(4, "little") + body + np.packbits(x > 0).tobytes() + some[large].astype("<u4").tobytes()
+
+
+def _unpacked(raw: bytes, size: int) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    out = np.unpackbits(np.frombuffer(raw, np.uint8, -(-size // 8), 4 + n))[:size].astype(np.uint32)
+    if n:
+        low = np.frombuffer(zlib.decompress(raw[4 : 4 + n]), np.uint8).astype(np.uint32)
+        low[low == 255] = np.frombuffer(raw, "<u4", offset=4 + n + -(-size // 8))
+        out[out > 0] += low
+    return out
+
+
+def bucket_levels(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """The level of each hash bucket: 128 at the mean number of documents, 8 levels to a root of the mean.  2**bits bytes."""
     shared(docs, None)
     step = (1 << bits) // CHUNKS
 
     def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        total, keys, held = np.zeros(1 << bits, np.uint32), [], 0
+
+        def add():
+            if keys:
+                total[:] += np.bincount(np.concatenate(keys), minlength=1 << bits).astype(np.uint32)
+                keys.clear()
+
         for b in batches:
             for _, _, sets in _sets(b.column("_text"), n):
-                k = np.concatenate(sets) >> np.uint64(64 - bits)
-                total += np.bincount(k.astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                keys.append((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64))
+                held += len(keys[-1])
+                if held > 1 << 21:
+                    add()
+                    held = 0
+        add()
         if total.any():
             for c in range(CHUNKS):
-                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([zlib.compress(total[c * step : (c + 1) * step].tobytes(), 1)])], names=["c", "counts"])
+                yield pa.record_batch([pa.array([c], pa.int32()), pa.array([_packed(total[c * step : (c + 1) * step])])], names=["c", "counts"])
 
     def merge(batches):
         totals: dict[int, np.ndarray] = {}
         for b in batches:
             for c, x in zip(b.column("c").to_pylist(), b.column("counts"), strict=True):
                 totals.setdefault(c, np.zeros(step, np.uint64))
-                totals[c] += np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+                totals[c] += _unpacked(x.as_buffer().to_pybytes(), step)
         for c, t in totals.items():
-            packed = zlib.compress(np.minimum(t, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+            packed = _packed(np.minimum(t, 0xFFFFFFFF).astype(np.uint32))
             yield pa.record_batch([pa.array([c], pa.int32()), pa.array([int(t.sum())]), pa.array([packed])], names=["c", "total", "counts"])
 
     parts = docs.select("_text").mapInArrow(count, "c int, counts binary").repartition(CHUNKS, "c")
     rows = parts.mapInArrow(merge, "c int, total long, counts binary").collect()  # CHUNKS rows, 4 * 2**bits bytes at most
-    out, mean = np.zeros(1 << bits), sum(r["total"] for r in rows) / (1 << bits)
+    out, mean = np.zeros(1 << bits, np.uint8), sum(r["total"] for r in rows) / (1 << bits)
     for r in rows:
-        out[r["c"] * step : (r["c"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return np.clip(128 + 8 * (out - mean) / max(1.0, mean) ** 0.5, 0, 255).astype(np.uint8)
+        x = _unpacked(bytes(r["counts"]), step).astype(np.float32)
+        out[r["c"] * step : (r["c"] + 1) * step] = np.clip(128 + 8 * (x - mean) / max(1.0, mean) ** 0.5, 0, 255).astype(np.uint8)
+    return out
 
 
 def need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -103,12 +142,15 @@ def _folded(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, n: int, percent: int, bits: int) -> DataFrame:
-    """(doc_id, tk: hash of the text, size, cid: hash of the set, toks: indexed shingles in order, bits: parities)."""
+    """(doc_id, tk: hash of the text, size, cid: hash of the set, toks: indexed shingles in order, bits: parities).
+
+    Only the first row of a class in a task has ``toks``, so copies do not lengthen lists.
+    """
     held = shared(docs, levels)
     often = np.uint64(FREQUENT << 55)
 
     def run(batches):
-        level = held.value.astype(np.uint64) << np.uint64(55)
+        level, known = held.value, set()
         for b in batches:
             size, cid, toks, bits_, wide = [], [], [], [], []
             for _, _, sets in _sets(b.column("_text"), n):
@@ -121,7 +163,11 @@ def signatures(docs: DataFrame, levels: np.ndarray, n: int, percent: int, bits:
                     cid.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
                     p = len(x) - (-(-len(x) * percent // 100)) + 1 if len(x) else 0
                     # a token is the level and the hash; the sign says that it is frequent
-                    t = level[(x >> np.uint64(64 - bits)).astype(np.int64)] | (x >> np.uint64(9))
+                    if cid[-1] in known:
+                        toks.append(np.zeros(0, np.int64))
+                        continue
+                    known.add(cid[-1])
+                    t = level[(x >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(55) | (x >> np.uint64(9))
                     t = np.sort(np.partition(t, p - 1)[:p]) if p else t
                     toks.append((t | ((t >= often).astype(np.uint64) << np.uint64(63))).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
@@ -170,21 +216,29 @@ def _may_link(size_a, size_b, bits_a, bits_b, percent: int) -> np.ndarray:
     return np.bitwise_count(bits_a ^ bits_b).sum(axis=1) <= size_a + size_b - 2 * least
 
 
-def shared_lists(entries: DataFrame) -> DataFrame:
-    """The entries of lists with two sets or more, with the length of the list (of its part, for a salted one)."""
+def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries with a possible partner in their list, with the length of the list (of its part, for a salted one)."""
 
     def run(batches):
         for x in _runs(batches, ["tok", "salt", "size", "cid", "pos"]):
-            new = np.ones(len(x["tok"]), bool)
-            new[1:] = (x["tok"][1:] != x["tok"][:-1]) | (x["salt"][1:] != x["salt"][:-1])
-            of = np.cumsum(new) - 1
+            same = np.zeros(len(x["tok"]) + 1, bool)
+            same[1:-1] = (x["tok"][1:] == x["tok"][:-1]) & (x["salt"][1:] == x["salt"][:-1])
+            one = np.ones(len(x["tok"]), bool)  # copies from several tasks
+            one[1:] = ~same[1:-1] | (x["cid"][1:] != x["cid"][:-1])
+            x = {k: v[one] for k, v in x.items()}
+            same = np.zeros(len(x["tok"]) + 1, bool)
+            same[1:-1] = (x["tok"][1:] == x["tok"][:-1]) & (x["salt"][1:] == x["salt"][:-1])
+            of = np.cumsum(~same[:-1]) - 1
             n = np.bincount(of)[of]
-            keep = (n > 1) | (x["tok"] < 0)
+            near = same.copy()
+            size = x["size"].astype(np.int64)
+            near[1:-1] &= size[1:] * percent <= size[:-1] * 100
+            keep = near[:-1] | near[1:] | (x["tok"] < 0)
             if keep.any():
                 yield pa.record_batch([pa.array(v[keep]) for v in (x["tok"], x["salt"], x["size"], x["cid"], x["pos"], n)], names=["tok", "salt", "size", "cid", "pos", "n"])
 
     e = entries.withColumn("salt", F.when(F.col("tok") < 0, F.pmod("cid", F.lit(SALT))).otherwise(0).cast("int"))
-    e = _dealt(e, "tok", "salt").sortWithinPartitions("tok", "salt")
+    e = _dealt(e, "tok", "salt").sortWithinPartitions("tok", "salt", "size", "cid")
     return e.select("tok", "salt", "size", "cid", "pos").mapInArrow(run, "tok long, salt int, size int, cid long, pos int, n long")
 
 
@@ -231,50 +285,80 @@ def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
 def block_pairs(live: DataFrame, percent: int, block: int = 64, short: int = 8) -> DataFrame:
     """Pairs (a, b) of different components from lists read in blocks of one position each."""
 
-    def tested(size, pos, cid, comp, bits, p, q):
-        """The pairs of places (p, q) that may link, as a batch."""
+    def tested(size, pos, cid, comp, low, bits, p, q):
+        """The pairs of places (p, q) that may link; pairs of the lower band are met in that band's own list."""
         bound = np.minimum(pos[p], pos[q]) + np.minimum(size[p] - pos[p], size[q] - pos[q])
-        good = (comp[p] != comp[q]) & (bound >= need(size[p], size[q], percent))
+        good = (comp[p] != comp[q]) & ~(low[p] & low[q]) & (bound >= need(size[p], size[q], percent))
         p, q = p[good], q[good]
         good = _may_link(size[p], size[q], bits[p], bits[q], percent)
         p, q = p[good], q[good]
-        pairs = np.unique(np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])]), axis=1)
-        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        return np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])])
+
+    def batch_of(found):
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pairs, pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     def run(batches):
-        for x in _runs(batches, ["tok", "size", "cid", "pos", "comp", "bits"]):
+        """Pairs that several lists hold are merged before they leave, as far as a bounded store reaches."""
+        found, held, store = [], 0, 1 << 20
+        for pairs in each(batches):
+            if pairs.shape[1]:
+                found.append(pairs)
+                held += pairs.shape[1]
+            if held > store:
+                pairs, out = batch_of(found)
+                found, held = [pairs], pairs.shape[1]
+                if held > store // 2:
+                    yield out
+                    found, held = [], 0
+        if found:
+            yield batch_of(found)[1]
+
+    def each(batches):
+        for x in _runs(batches, ["tok", "size", "cid", "pos", "comp", "low", "bits"]):
             edges = np.flatnonzero(np.concatenate([[True], x["tok"][1:] != x["tok"][:-1], [True]]))
+            # lists with one component have their answers already
+            mixed = np.minimum.reduceat(x["comp"], edges[:-1]) < np.maximum.reduceat(x["comp"], edges[:-1])
+            if not mixed.any():
+                continue
+            stay = np.repeat(mixed, np.diff(edges))
+            x, edges = {k: v[stay] for k, v in x.items()}, np.concatenate([[0], np.cumsum(np.diff(edges)[mixed])])
             # lists of a few sets: all at once, by the distance of the two places
             n = np.diff(edges)
             left = np.repeat(np.where(n <= short, n, 0), n) - (np.arange(len(x["tok"])) - np.repeat(edges[:-1], n)) - 1
-            whole = [x["size"].astype(np.int64), x["pos"].astype(np.int64), x["cid"], x["comp"], x["bits"]]
+            whole = [x["size"].astype(np.int64), x["pos"].astype(np.int64), x["cid"], x["comp"], x["low"], x["bits"]]
             for k in range(1, short):
                 p = np.flatnonzero(left >= k)
                 if len(p):
                     yield tested(*whole, p, p + k)
             for i, j in zip(edges[:-1][n > short].tolist(), edges[1:][n > short].tolist(), strict=True):
-                size, pos, cid, comp, bits = x["size"][i:j].astype(np.int64), x["pos"][i:j].astype(np.int64), x["cid"][i:j], x["comp"][i:j], x["bits"][i:j]
+                size, pos, cid, comp, low, bits = x["size"][i:j].astype(np.int64), x["pos"][i:j].astype(np.int64), x["cid"][i:j], x["comp"][i:j], x["low"][i:j], x["bits"][i:j]
                 # blocks: entries of one position, at most ``block`` of them, in the order of size
                 cuts = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
                 cuts = np.unique(np.concatenate([cuts, *[np.arange(c, d, block) for c, d in zip(cuts, np.append(cuts[1:], j - i), strict=True)]]))
                 ends = np.append(cuts[1:], j - i)
-                low, high, at = size[cuts], size[ends - 1], pos[cuts]
+                smallest, largest, at = size[cuts], size[ends - 1], pos[cuts]
                 for b, (c, d) in enumerate(zip(cuts.tolist(), ends.tolist(), strict=True)):
                     # blocks that can hold a partner: sizes within the ratio, and the overlap bound
                     # min(i, j) + 1 + min(size - i, size' - j) - 1 reaches what the smaller sizes need
-                    most = np.minimum(at[b], at[b:]) + np.minimum(high[b] - at[b], high[b:] - at[b:])
-                    least = need(low[b], low[b:], percent)
-                    ok = (low[b:] * percent <= high[b] * 100) & (low[b] * percent <= high[b:] * 100) & (most >= least)
+                    most = np.minimum(at[b], at[b:]) + np.minimum(largest[b] - at[b], largest[b:] - at[b:])
+                    least = need(smallest[b], smallest[b:], percent)
+                    ok = (smallest[b:] * percent <= largest[b] * 100) & (smallest[b] * percent <= largest[b:] * 100) & (most >= least)
                     for o in (np.flatnonzero(ok) + b).tolist():
                         p, q = np.meshgrid(np.arange(c, d), np.arange(cuts[o], ends[o]), indexing="ij")
                         p, q = p.ravel(), q.ravel()
                         if o == b:
                             p, q = p[p < q], q[p < q]
                         if len(p):
-                            yield tested(size, pos, cid, comp, bits, p, q)
+                            yield tested(size, pos, cid, comp, low, bits, p, q)
 
-    e = _dealt(live, "tok").sortWithinPartitions("tok", "pos", "size", "cid")
-    return e.select("tok", "size", "cid", "pos", "comp", "bits").mapInArrow(run, "a long, b long").distinct()
+    # sets that link are in one band of size or in neighbours
+    band = F.floor(F.log("size") / np.log(100 / percent)) if percent < 100 else F.col("size")
+    entry = lambda tok, low: F.struct(tok.alias("tok"), F.lit(low).alias("low"))
+    both = F.when(F.col("tok") < 0, F.array(entry(F.xxhash64("tok", band), False), entry(F.xxhash64("tok", band + 1), True))).otherwise(F.array(entry(F.col("tok"), False)))
+    e = live.withColumn("_e", F.explode(both)).select("_e.tok", "_e.low", "size", "cid", "pos", "comp", "bits")
+    e = _dealt(e, "tok").sortWithinPartitions("tok", "pos", "size", "cid")
+    return e.select("tok", "size", "cid", "pos", "comp", "low", "bits").mapInArrow(run, "a long, b long").distinct()
 
 
 def fetch_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -351,11 +435,12 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, text: str = "t
     """doc_id, tk (hash of the text), n_shingles, component_id for every row of ``docs``.  ``trace(name, frame)`` sees the steps, for tests."""
     trace = trace or (lambda name, frame: None)
     d = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tk"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    sig = cut(signatures(d, bucket_levels(d, n), n, percent, SKETCH_BITS))
+    digits = bucket_bits(d)
+    sig = cut(signatures(d, bucket_levels(d, n, digits), n, percent, digits))
     full = sig.filter("size > 0").groupBy("cid")
     classes = cut(full.agg(F.min("doc_id").alias("least"), F.min(F.struct("tk", "doc_id")).alias("one"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
-    entries = full.agg(F.first("size").alias("size"), F.first("toks").alias("toks")).select("cid", "size", F.posexplode("toks").alias("pos", "tok"))
-    live = cut(shared_lists(entries))
+    entries = sig.filter("size > 0").select("cid", "size", F.posexplode("toks").alias("pos", "tok"))
+    live = cut(shared_lists(entries, percent))
     trace("live", live)
     central = live.groupBy("cid").agg(F.sum("n").alias("central")).join(classes.select("cid", "bits"), "cid")
     stars = cut(screen(hub_pairs(live.join(central, "cid"), percent), classes, percent))
@@ -365,10 +450,8 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, text: str = "t
     trace("links", links)
     comp = cut(components(links, "a", "b"))
     name = lambda c: F.coalesce(F.col("comp"), F.col(c))
-    labelled = live.select("tok", "size", "cid", "pos").join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", name("cid")).drop("id")
-    # lists with one component have their answers already
-    mixed = labelled.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    rest = block_pairs(labelled.join(mixed, "tok", "left_semi").join(classes.select("cid", "bits"), "cid"), percent)
+    labelled = live.select("tok", "size", "cid", "pos").join(classes.select("cid", "bits"), "cid").join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", name("cid")).drop("id")
+    rest = block_pairs(labelled, percent)
     more = cut(screen(rest.join(stars, ["a", "b"], "left_anti"), classes, percent))
     trace("more", more)
     if more.limit(1).count():
