@@ -1,14 +1,19 @@
 """Operator 10: quality rules with risk-controlled thresholds (DataFrame functions only).
 
 Each rule is one per-document measure with a cut-off per stratum (language).  A rule rejects a
-document whose measure exceeds the cut-off.  Labelled good documents are the holdout: for a cut-off
-that rejects k of a stratum's n good documents, the exact binomial tail P(Bin(n, alpha) <= k) is the
-p-value of "this cut-off falsely rejects at least alpha of the good documents".  Cut-offs of one
-rule and stratum are tested from the loosest to the strictest and the tests stop at the first that
-fails (fixed-sequence testing); the level is shared between rules and strata (Bonferroni).  So with
-probability ``1 - delta`` every chosen cut-off keeps its false rejection below ``alpha``.  Among the
-certified cut-offs the one is taken that rejects most bad minus good labelled documents, the loosest
-on ties; a rule that gains nothing is not applied.  A stratum without enough labels has no cut-offs.
+document whose measure exceeds the cut-off.  What is controlled is the rules' joint false rejection
+in each stratum: the share of the good documents passing the base rules that any cut-off rejects.
+
+1. Labelled documents are split by a hash of their id.  The design third orders the pairs (rule,
+   cut-off) of a stratum: those that reject more bad than good documents, the purest first.  The
+   first k pairs together are step k; steps are nested, so their rejections grow with k.
+2. On the holdout, the other two thirds, a step that rejects r of the stratum's n good documents has
+   the p-value P(Bin(n, alpha) <= r) of "it falsely rejects at least alpha of them".  Steps are
+   tested in their order and the tests stop at the first that fails (fixed-sequence testing, which
+   costs no level); the level is shared between the strata (Bonferroni).  So with probability
+   ``1 - delta`` all strata's chosen steps keep their joint false rejection below ``alpha``.
+3. Among the certified steps the one is taken that rejects most bad minus good documents of the
+   holdout, the first on ties.  A stratum without enough labels has no cut-offs.
 
 Defined results: null or empty text: no words, all measures 0, base_failed.  Null language: a stratum
 of its own.  Null or repeated doc_id: each row is judged by itself; labels join on equal ids only, and
@@ -34,7 +39,7 @@ GRID = {
     "dup_lines": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3],
     "long_words": [60.0, 40.0, 30.0, 20.0, 15.0, 12.0],
 }
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA, DESIGN = 0.05, 0.05, 3
 
 
 def _let(value: Column, body) -> Column:
@@ -131,32 +136,42 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k <= 0, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), zero, add, lambda s: s["s"]))
 
 
+def _design(doc_id: Column) -> Column:
+    """True for the rows that design the steps (one in ``DESIGN``)."""
+    return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % DESIGN == 0
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, grid: dict[str, list[float]] = GRID, alpha: float = ALPHA, delta: float = DELTA, label: str = "quality") -> DataFrame:
     """Certified cut-offs: (stratum string, one nullable double column per rule).
 
-    ``measured``: rows with doc_id, stratum and a struct ``m`` holding the rules' measures.
-    Counting is one pre-aggregated pass; what follows has a row per stratum, rule and cut-off.
+    ``measured``: rows with doc_id, stratum, failed (by the base rules) and a struct ``m`` holding the
+    rules' measures.  Rows are counted in two pre-aggregated passes over the labelled ones; all else
+    has a row per stratum, rule and cut-off.
     """
     y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1)).groupBy("_id").agg(F.max("_y").alias("_y"))
-    held = measured.join(y, measured["doc_id"] == y["_id"]).select("stratum", "_y", "m")
-    counts = [
-        F.count_if((F.col(f"m.{r}") > c) & (F.col("_y") == v)).alias(f"{r}_{j}_{v}")
-        for r, cs in grid.items() for j, c in enumerate(cs) for v in (0, 1)
-    ]
-    per = held.groupBy("stratum").agg(F.count_if(F.col("_y") == 1).alias("n"), *counts)
-    tests = F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(j).alias("j"), F.lit(c).alias("cutoff"), F.col(f"{r}_{j}_1").alias("good"), F.col(f"{r}_{j}_0").alias("bad"))
-        for r, cs in grid.items() for j, c in enumerate(cs)
-    ])
-    per = per.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).select("stratum", "n", "strata", F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")
+    held = cut(measured.filter("not failed").join(y, measured["doc_id"] == y["_id"]).select("stratum", "_y", "m", _design(F.col("doc_id")).alias("design")))
+    strata = held.select("stratum").distinct().count()
+    if not strata:
+        return held.sparkSession.createDataFrame([], "stratum string, " + ", ".join(f"{r} double" for r in grid))
+    pairs = [(i, r, j, c) for i, (r, cs) in enumerate(grid.items()) for j, c in enumerate(cs)]
+    counts = [F.count_if((F.col(f"m.{r}") > c) & (F.col("_y") == v)).alias(f"{r}_{j}_{v}") for _, r, j, c in pairs for v in (0, 1)]
+    each = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(j).alias("j"), F.lit(c).alias("cutoff"), F.col(f"{r}_{j}_1").alias("good"), F.col(f"{r}_{j}_0").alias("bad")) for i, r, j, c in pairs])
+    step = Window.partitionBy("stratum").orderBy(F.col("good") / (F.col("good") + F.col("bad")), F.desc("bad"), "rule", "j")
+    ordered = held.filter("design").groupBy("stratum").agg(*counts).select("stratum", F.explode(each).alias("t")).select("stratum", "t.*").filter("bad > good").withColumn("k", F.row_number().over(step))
+    path = cut(ordered.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("k", "rule", "cutoff"))).alias("path")))
+    # the step at which each holdout row is rejected, if any
+    values = F.array(*[F.col(f"m.{r}") for r in grid])
+    first = F.array_min(F.transform(F.filter("path", lambda x: F.get(values, x["rule"]) > x["cutoff"]), lambda x: x["k"]))
+    tested = held.filter("not design").join(small(path), "stratum").groupBy("stratum", first.alias("k")).agg(F.count_if(F.col("_y") == 1).alias("good"), F.count_if(F.col("_y") == 0).alias("bad"))
+    upto = Window.partitionBy("stratum").orderBy(F.col("k").asc_nulls_last())
+    tested = tested.select("stratum", "k", F.sum("good").over(upto).alias("good"), F.sum("bad").over(upto).alias("bad"), F.sum("good").over(Window.partitionBy("stratum")).alias("n")).filter("k is not null")
     # a count of alpha * n or more cannot be certified, so no tail of more terms is summed
-    level = F.log(F.lit(delta) / (F.col("strata") * len(grid)))
-    passes = F.when(F.col("good") >= alpha * F.col("n"), False).otherwise(log_binomial_tail(F.col("n"), F.col("good"), alpha) <= level)
-    w = Window.partitionBy("stratum", "rule").orderBy("j")
-    gain = F.col("bad") - F.col("good")
-    sure = per.withColumn("ok", F.min(passes.cast("int")).over(w)).filter((F.col("ok") == 1) & (gain > 0))
-    best = sure.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, -F.col("j"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in grid])
+    passes = F.when(F.col("good") >= alpha * F.col("n"), False).otherwise(log_binomial_tail(F.col("n"), F.col("good"), alpha) <= math.log(delta / strata))
+    sure = tested.withColumn("ok", F.min(passes.cast("int")).over(upto)).filter((F.col("ok") == 1) & (F.col("bad") > F.col("good")))
+    best = sure.groupBy("stratum").agg(F.max_by("k", F.struct(F.col("bad") - F.col("good"), -F.col("k"))).alias("last"))
+    taken = path.join(best, "stratum").withColumn("path", F.filter("path", lambda x: x["k"] <= F.col("last")))
+    strictest = lambda i: F.array_min(F.transform(F.filter("path", lambda x: x["rule"] == i), lambda x: x["cutoff"]))
+    return taken.select("stratum", *[strictest(i).alias(r) for i, r in enumerate(grid)])
 
 
 def stratum(lang: Column) -> Column:
@@ -172,10 +187,9 @@ def verdict(measure: Column, cutoffs: Column, grid: dict[str, list[float]] = GRI
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """The cut-offs from the documents that have labels."""
-    ids = labels.select(F.col("doc_id").alias("_id")).distinct()
-    some = docs.select(F.col("doc_id"), F.col(text).alias("text"), stratum(F.col(lang)).alias("stratum")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    return thresholds(cut(measures(some).select("doc_id", "stratum", F.col("_q_m").alias("m"))), labels, **options)
+    """The cut-offs.  All documents are measured where they stand, which shuffles numbers only."""
+    m = measures(docs.select("doc_id", F.col(text).alias("text"), stratum(F.col(lang)).alias("stratum")))
+    return thresholds(m.select("doc_id", "stratum", base_failed(F.col("_q_base")).alias("failed"), F.col("_q_m").alias("m")), labels, **options)
 
 
 def apply(docs: DataFrame, cutoffs: DataFrame, lang: str = "lang", text: str = "text", prefix: str = "_q_") -> DataFrame:
@@ -195,7 +209,7 @@ def assess(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     m = measures(docs.select("doc_id", "text", stratum(F.col("lang")).alias("stratum")))
     m = cut(m.select("doc_id", "stratum", F.col("_q_base").alias("base"), F.col("_q_m").alias("m")))
-    cuts = cut(thresholds(m, labels, **options))
+    cuts = cut(thresholds(m.select("doc_id", "stratum", base_failed(F.col("base")).alias("failed"), "m"), labels, **options))
     c = cuts.select(F.col("stratum").alias("_s"), F.struct(*[F.col(r) for r in GRID]).alias("_c"))
     out = m.join(small(c), F.col("stratum") == F.col("_s"), "left")
     b = F.col("base")
