@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The caller's secret for surrogates: ``spark.loamweave.surrogateKey``, or a public one for tests."""
+    return spark.conf.get("spark.loamweave.surrogateKey", "not a secret")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
