@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamweave.llm import mixing, pieces, quality_rules, set_join, surrogates
-from loamweave.llm.common import cut, table
+from loamweave.llm.common import cut, surrogate_key, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; the length column follows the text."""
-    out = surrogates.replace(docs)
+    out = surrogates.replace(docs, surrogate_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_pii_types") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
