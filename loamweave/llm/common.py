@@ -28,12 +28,15 @@ def surrogate_key(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is made.  The files survive lost executors.
+    The folder is the cluster's ``spark.checkpoint.dir``; only in local mode (tests), where it may be
+    unset, a temporary one is made.  The files survive lost executors.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -67,11 +70,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     Rows are taken in the order of a hash of the id, so the sample does not depend on the layout.
     Only texts of 1 to ``max_chars`` characters count, which bounds the sample to
-    ``2 * per_class * max_chars`` characters.  Columns: _y int, _text string.
+    ``2 * per_class * max_chars`` characters.  Of several labels for an id the largest counts, of several
+    texts the first in order.  Columns: _y int, _text string.
     """
     from pyspark.sql import Window
 
-    y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & (fold(F.col("_id"), modulus) != held)).dropDuplicates(["_id"])
+    y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & (fold(F.col("_id"), modulus) != held)).groupBy("_id").agg(F.max("_y").alias("_y"))
     d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).filter((fold(F.col("_id"), modulus) != held) & F.length("_text").between(1, max_chars))
     # the few ids are chosen first, from ids and lengths alone; only then are their texts read.  A share of
     # the ids in hash order, several times what is needed, keeps the ranked rows few at any input size.
@@ -84,4 +88,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .filter(F.col("_r") <= per_class)
         .select("_id", "_y")
     )
-    return d.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "_y", "_text")
+    return d.join(F.broadcast(chosen.distinct()), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))

@@ -1,8 +1,8 @@
 """Operator 9: language identification with language-bitmask n-gram filters.
 
 All languages' Bloom filters share their hash functions and are stored bit-sliced: slot ``i`` holds a
-bit mask with a bit for each language, so one lookup per hash function and an AND return all the
-languages that contain an n-gram.  A text's per-language popcounts are corrected for each filter's
+bit mask with a bit for each language (a word for each 64 of them), so one lookup per hash function and
+an AND return all the languages that contain an n-gram.  A text's per-language popcounts are corrected for each filter's
 false positives, ``(hits - f * n) / (1 - f)`` with f = (share of the filter's set bits) ** hashes, and
 the largest corrected count decides.
 
@@ -10,8 +10,9 @@ N-grams are runs of 4 bytes of the lower-cased text with everything in ASCII tha
 space.  A language's filter holds those seen twice or more in its training sample and not more than
 ``ratio`` times as often, relative to the sample's size, in another language's.
 
-Learning takes at most ``per_lang`` texts a language of up to ``max_chars`` characters, by hash order
-of the ids; at most 64 languages, the most frequent in training rows (ties by name).
+Learning takes at most ``per_lang`` texts a language, by hash order of the ids: of up to ``max_chars``
+characters and, where these do not suffice, the first ``max_chars`` characters of longer ones.  Any
+number of languages is learned; of rows that repeat an id the first language and text in order count.
 
 Defined results: null text or no letter: ``und`` with score 0.  Nothing learned: ``und``, 0.  No
 n-gram known: the first language by name, score 0.  Ties: the first language by name.  Repeated rows
@@ -61,7 +62,8 @@ class Filters:
     def __init__(self, texts: dict[str, list[str]], bits: int = BITS, ratio: float = 3.0):
         self.langs, self.bits = sorted(texts), bits
         width = np.uint8 if len(self.langs) <= 8 else np.uint16 if len(self.langs) <= 16 else np.uint32 if len(self.langs) <= 32 else np.uint64
-        self.slots = np.zeros(1 << bits, width)
+        words = max(1, -(-len(self.langs) // 64))
+        self.slots = np.zeros((words, 1 << bits), width)
         counts = []
         for name in self.langs:
             a = pa.array([t.lower() for t in texts[name]], pa.string())
@@ -74,8 +76,8 @@ class Filters:
         top = rate.max(axis=0) if len(counts) else np.zeros(0)
         for i in range(len(counts)):
             for s in _slots(keys[(rate[i] > 0) & (rate[i] * ratio >= top)], bits):
-                self.slots[s] |= width(1 << i)
-        filled = [np.mean((self.slots >> width(i)) & width(1)) for i in range(len(counts))]
+                self.slots[i // 64, s] |= width(1 << i % 64)
+        filled = [np.mean((self.slots[i // 64] >> width(i % 64)) & width(1)) for i in range(len(counts))]
         self.false = np.array(filled) ** HASHES
 
     def counts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +86,27 @@ class Filters:
         n = np.diff(at) if len(at) else np.zeros(len(bounds) - 1, np.int64)
         hits = np.zeros((len(n), len(self.langs)))
         if len(g):
-            mask = np.bitwise_and.reduce([self.slots[s] for s in _slots(g, self.bits)])
+            at_ = _slots(g, self.bits)
             total = np.zeros(len(g) + 1, np.int64)
             for i in range(len(self.langs)):
-                np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), out=total[1:], dtype=np.int64)
+                if i % 64 == 0:
+                    mask = np.bitwise_and.reduce([self.slots[i // 64, s] for s in at_])
+                np.cumsum((mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1), out=total[1:], dtype=np.int64)
                 hits[:, i] = total[at[1:]] - total[at[:-1]]
         return np.maximum(0, (hits - self.false * n[:, None]) / (1 - np.minimum(self.false, 0.999))), n
 
 
-def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 400, max_chars: int = 8000, max_langs: int = 64) -> Filters:
+def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = 400, max_chars: int = 8000) -> Filters:
     d = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_l"), F.col("text").alias("_t")).filter(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (fold(F.col("_id"), modulus) != held))
-    langs = {r[0]: r[1] for r in d.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(max_langs).collect()}
-    if not langs:
-        return Filters({})
-    d = d.filter(F.length("_t").between(1, max_chars) & F.col("_l").isin(list(langs)))
+    d = d.filter(F.length("_t") > 0).withColumn("_far", F.length("_t") > max_chars)
+    sizes = d.groupBy("_l", "_far").count()  # two rows a language
     # several times the rows needed, by hash, so that the ranked rows stay few at any input size
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in langs.items() for x in (k, min(1.0, 8 * per_lang / n))]), F.col("_l"))
-    w = Window.partitionBy("_l").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
-    chosen = d.select("_id", "_l").filter(below(share, "_id")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang).select("_id").distinct()
-    rows = d.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_l", "_t").collect()  # per_lang * max_langs at most
+    share = F.least(F.lit(1.0), F.lit(8.0 * per_lang) / F.col("count"))
+    w = Window.partitionBy("_l").orderBy("_far", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
+    some = d.select("_id", "_l", "_far").join(F.broadcast(sizes), ["_l", "_far"]).filter(below(share, "_id"))
+    chosen = some.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang).select("_id").distinct()
+    texts_ = d.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("_l", F.substring("_t", 1, max_chars).alias("_t"))).alias("x"))
+    rows = texts_.select("x._l", "x._t").collect()  # per_lang texts of max_chars characters a language at most
     texts: dict[str, list[str]] = {}
     for r in rows:
         texts.setdefault(r[0], []).append(r[1])

@@ -9,7 +9,7 @@ fitted to these tokens by gradient steps on the exact conditional likelihood.  F
 differ between the labels and are not frequent either have no weight.
 
 Forward-backward gives each word's marginal.  A document's score is a calibrated logistic function
-of the largest marginal and of the expected number of toxic words; words with a marginal of 0.5 or
+of the largest marginal and of the sum of all marginals' squares; words with a marginal of 0.5 or
 more, joined where they are adjacent, are the offending spans.
 
 Forward and backward passes are products of 2 x 2 matrices, reset at each text's edges.  They run
@@ -143,12 +143,12 @@ def tokens(texts: pa.Array):
 
 
 def _summaries(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Largest and summed marginal of each text.  Marginals far below 0.5 do not add up over long texts."""
+    """Largest marginal of each text and the sum of all marginals' squares, so that small ones hardly add up over long texts."""
     top, total = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
     full = np.flatnonzero(np.diff(at) > 0)
     if len(full):
         top[full] = np.maximum.reduceat(p, at[full])
-        total[full] = np.add.reduceat(np.where(p >= 0.1, p, 0), at[full])
+        total[full] = np.add.reduceat(p * p, at[full])
     return top, total
 
 
