@@ -73,3 +73,8 @@ STATES = {
         "pays de la loire": "pdl", "loire atlantique": "pdl",
     },
 }
+# Legal-form words at the end of raw names.
+LEGAL_TAIL = "llc inc corp ltd limited pvt private pllc pc lp llp co sa sas sasu sarl eurl sci snc ei pa".split()
+# Kinds of a labelled country's rescues that hold for a country without labels.
+SAFE_NAMES = ["identical", "typo", "drop_word", "reorder", "filler_for_word", "initialism"]
+SAFE_NUMBERS = ["same", "blank", "no_num", "overlap:subset", "conflict:digit_added_or_lost", "conflict:one_digit_sub_big", "conflict:zeros"]

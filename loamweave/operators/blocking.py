@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def blocking_text(records: DataFrame) -> DataFrame:
+    """(part, id, text) of normalised records: core name and address, by country."""
+    return records.select(F.col("country").alias("part"), F.col("entity_id").alias("id"), F.concat_ws(" ", "name_core", "addr_norm").alias("text"))
+
+
 def terms(docs: DataFrame, key: str, text: str, part: str | None = None) -> DataFrame:
     """(part, id, term, tf): word counts per document; words are runs of letters and digits in lower case."""
     words = F.explode(F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}0-9]+", " "), " "), lambda t: t != ""))
@@ -15,14 +20,16 @@ def terms(docs: DataFrame, key: str, text: str, part: str | None = None) -> Data
     return docs.select(p.alias("part"), F.col(key).alias("id"), words.alias("term")).groupBy("part", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_topk(queries: DataFrame, pool: DataFrame, k: int = 20, min_df: int = 2, max_df: float = 0.02) -> DataFrame:
+def tfidf_topk(queries: DataFrame, pool: DataFrame, k: int = 20, min_df: int = 2, max_df: float = 0.02, part_max_df: dict[str, float] | None = None) -> DataFrame:
     """(part, s1_id, cand_id, cos, rank) from term tables: vocabulary and IDF come from the pool alone.
 
     Weights are (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), L2-normalised over the kept vocabulary.
-    Terms in more than ``max_df`` of a partition's documents are dropped, which bounds each term's list.
+    Terms in more than ``max_df`` of a partition's documents are dropped, which bounds each term's list;
+    ``part_max_df`` has other shares for some partitions.
     """
     n = pool.select("part", "id").distinct().groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    vocab = pool.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "part").filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    most = F.coalesce(*[F.when(F.col("part") == p, F.lit(x)) for p, x in (part_max_df or {}).items()], F.lit(max_df))
+    vocab = pool.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "part").filter((F.col("df") >= min_df) & (F.col("df") <= most * F.col("n")))
     vocab = vocab.select("part", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
     def unit(t: DataFrame) -> DataFrame:

@@ -103,20 +103,22 @@ def bands(prob: Column, edges: list[float], right_closed: bool = False) -> Colum
     return reduce(lambda x, e: x + ((prob > e) if right_closed else (prob >= e)).cast("int"), edges, F.lit(0))
 
 
-def density(val: DataFrame, test: DataFrame, edges: list[float]) -> DataFrame:
-    """(country, band, rate): precision of a test band from the true pairs per entity on labelled data.
+def density(val: DataFrame, test: DataFrame, n_val: DataFrame, n_test: DataFrame, edges: list[float]) -> DataFrame:
+    """(country, band, val_prec, true_per_s1, test_per_s1, rate) for owned pairs in (a, b] bands.
 
-    rate = (true per entity on val) / (pairs per entity on test), at most 1; entities are all of the country.
-    A country without labelled pairs takes the mean of the labelled countries in the band.
+    rate = (true pairs per entity on labelled data) / (pairs per entity on test), at most 1.  ``n_val``, ``n_test``:
+    all entities of a country, those without pairs included.  A country and band without labelled pairs takes
+    the unweighted mean of the countries in the band, else 0.
     """
-    def per(d: DataFrame, what: Column, name: str) -> DataFrame:
-        n = d.groupBy("country").agg(F.countDistinct("s1_id").alias("n"))
-        return d.groupBy("country", bands(F.col("prob"), edges, True).alias("band")).agg(F.sum(what).alias("x")).join(n, "country").select("country", "band", (F.col("x") / F.col("n")).alias(name))
-
-    v, t = per(val, F.col("label"), "v"), per(test, F.lit(1), "t")
-    known, pooled = val.select("country").distinct().withColumn("known", F.lit(0.0)), v.groupBy("band").agg(F.avg("v").alias("pooled"))
-    j = t.join(v, ["country", "band"], "left").join(known, "country", "left").join(pooled, "band", "left")
-    return j.select("country", "band", F.round(F.least(F.coalesce("v", "known", "pooled", F.lit(0.0)) / F.col("t"), F.lit(1.0)), 6).alias("rate"))
+    b = bands(F.col("prob"), edges, True).alias("band")
+    v = val.groupBy("country", b).agg(F.count(F.lit(1)).alias("pairs"), F.sum("label").alias("true")).join(F.broadcast(n_val), "country")
+    v = v.select("country", "band", (F.col("true") / F.col("n_val")).alias("tps"), (F.col("true") / F.col("pairs")).alias("prec"))
+    pooled = v.groupBy("band").agg(F.avg("tps").alias("pooled_tps"), F.avg("prec").alias("pooled_prec"))
+    t = test.groupBy("country", b).agg(F.count(F.lit(1)).alias("pairs")).join(F.broadcast(n_test), "country")
+    j = t.join(v, ["country", "band"], "left").join(pooled, "band", "left")
+    tps, per = F.coalesce("tps", "pooled_tps"), F.col("pairs") / F.col("n_test")
+    r6 = lambda x, n: F.round(x, 6).alias(n)
+    return j.select("country", "band", r6(F.coalesce("prec", "pooled_prec"), "val_prec"), r6(tps, "true_per_s1"), r6(per, "test_per_s1"), r6(F.coalesce(F.least(tps / per, F.lit(1.0)), F.lit(0.0)), "rate"))
 
 
 def group_rules(val: DataFrame, test: DataFrame, n_val: DataFrame, n_test: DataFrame, edges: list[float], rescue: float = 0.82, veto: float = 0.74, least_val: int = 100, least_test: int = 500) -> DataFrame:

@@ -33,10 +33,11 @@ def unmatched(a: str, b: str, least: float = 80) -> int:
 
 
 def with_records(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs with q_* and c_* fields of both records (ids s1_id and cand_id)."""
+    """Pairs with q_* and c_* fields of both records (ids s1_id and cand_id); a pair without a record keeps empty fields."""
     q = queries.select(F.col("entity_id").alias("s1_id"), "country", *[F.col(f).alias(f"q_{f}") for f in FIELDS])
     c = pool.select(F.col("entity_id").alias("cand_id"), *[F.col(f).alias(f"c_{f}") for f in FIELDS])
-    return pairs.drop("country").join(q, "s1_id").join(c, "cand_id")
+    text = [s + f for s in ("q_", "c_") for f in FIELDS if f != "non_latin"]
+    return pairs.drop("country").join(q, "s1_id", "left").join(c, "cand_id", "left").na.fill("", text).na.fill(False, ["q_non_latin", "c_non_latin"])
 
 
 def native(d: DataFrame) -> DataFrame:

@@ -55,6 +55,12 @@ UNION SELECT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_ord
 RANKED = f"SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, cand_id) AS INTEGER) AS rank FROM ({LISTED}) y"
 
 
+def entity_numbers(u: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities per country of the labelled and the other half."""
+    n = [u.filter(F.col("s1_id") % 2 == r).groupBy("country").agg(F.count(F.lit(1)).alias(name)) for r, name in ((0, "n_val"), (1, "n_test"))]
+    return n[0], n[1]
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
     """SQL over tables of a data folder."""
     named = re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", text)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import blocking, decide
-from .plans import linkage, views
+from .plans import linkage, scoring, views
 from .sources import idlists
 
 EDGES = [0.3, 0.5, 0.7, 0.9, 0.97]
@@ -43,12 +43,6 @@ def _tfidf(s: SparkSession, d: str, part: str | None = None) -> DataFrame:
     return blocking.tfidf_topk(blocking.terms(items, "item_id", "text"), pool).select("s1_id", "cand_id", "cos", F.col("rank").cast("int").alias("rank"))
 
 
-def _near_copies(s: SparkSession, d: str) -> DataFrame:
-    """Documents among documents of their language, by equal 60-character beginnings (capped)."""
-    docs = views.table(s, d, "documents").select(F.col("lang").alias("part"), F.col("doc_id").alias("id"), F.lower(F.substring("text", 1, 60)).alias("key"))
-    return blocking.key_pass(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1"))
-
-
 def _copies(s: SparkSession, d: str) -> DataFrame:
     """View B: the first document of each text and language among the others of its language, by their whole normalised texts (capped)."""
     text = F.col("text")
@@ -110,7 +104,6 @@ def queries() -> dict[str, Query]:
     p = views.pairs
     return {
         "tfidf_topk": _tfidf,
-        "key_pass_capped": _near_copies,
         "key_pass_copies": _copies,
         "merge_candidates": _merged,
         "blocking_recall": lambda s, d: blocking.recall(_truth(p(s, d)), p(s, d).filter("prob >= 0.4")),
@@ -121,7 +114,7 @@ def queries() -> dict[str, Query]:
         "one_owner": lambda s, d: decide.one_owner(p(s, d)),
         "expected_f05_select": lambda s, d: decide.expected_select(p(s, d)),
         "threshold_tuning_grid": lambda s, d: decide.tune(views.universe(s, d), decide.one_owner(p(s, d)), _truth(p(s, d)), GRID),
-        "density_table": lambda s, d: decide.density(p(s, d, 2, 0), p(s, d, 2, 1), EDGES),
+        "density_table": lambda s, d: decide.density(decide.one_owner(p(s, d, 2, 0)).filter("country <> 'c1' OR prob < 0.5"), decide.one_owner(p(s, d, 2, 1)), *views.entity_numbers(views.universe(s, d)), EDGES),
         "group_rules": _group_rules,
         "group_rules_applied": _rules_applied,
         "prior_weights": lambda s, d: decide.prior_weights(*_halves(s, d)),
@@ -136,7 +129,7 @@ def queries() -> dict[str, Query]:
         "number_kinds": _numbers,
         "id_lists": _lists,
         "validator": _problems,
-    } | linkage.queries()
+    } | linkage.queries() | scoring.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -159,8 +152,6 @@ pw AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (S
 qw AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, term, (1 + ln(tf)) * idf AS w FROM q JOIN v USING (term))),
 c AS (SELECT qw.id AS s1_id, pw.id AS cand_id, round(sum(qw.w * pw.w), 6) AS cos FROM qw JOIN pw USING (term) GROUP BY 1, 2)
 SELECT s1_id, cand_id, cos, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, cand_id) AS INTEGER) AS rank FROM c WHERE cos > 0 QUALIFY rank <= 20""",
-        "key_pass_capped": """WITH d AS (SELECT lang AS part, doc_id AS id, lower(text[1:60]) AS key FROM documents), p AS (SELECT * FROM d WHERE id % 2 = 1), few AS (SELECT part, key FROM p GROUP BY 1, 2 HAVING count(*) <= 20)
-SELECT DISTINCT q.id AS s1_id, p.id AS cand_id FROM d q JOIN p ON q.part = p.part AND q.key = p.key JOIN few ON p.part = few.part AND p.key = few.key WHERE q.id % 2 = 0""",
         "key_pass_copies": r"""WITH d AS (SELECT coalesce(lang, '') AS part, doc_id AS id, md5(text) AS same, md5(coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}0-9]+', ' ', 'g')), ''), text)) AS key FROM documents),
 f AS (SELECT min(id) AS id FROM d GROUP BY part, same), p AS (SELECT * FROM d WHERE id NOT IN (SELECT id FROM f)), few AS (SELECT part, key FROM p GROUP BY 1, 2 HAVING count(*) <= 20)
 SELECT DISTINCT q.id AS s1_id, p.id AS cand_id FROM d q JOIN p ON q.part = p.part AND q.key = p.key JOIN few ON p.part = few.part AND p.key = few.key WHERE q.id IN (SELECT id FROM f)""",
@@ -184,9 +175,11 @@ SELECT s1_id, cand_id, prob FROM a WHERE k <= at_ AND prob >= 0.5 AND best > non
 x AS (SELECT threshold, s1_id, count(*) FILTER (prob >= threshold) AS np, count(*) FILTER (prob >= threshold AND label = 1) AS tp FROM owned, g GROUP BY 1, 2),
 y AS (SELECT g.threshold, coalesce(tp, 0) AS tp, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt FROM universe u CROSS JOIN g LEFT JOIN x ON x.s1_id = u.s1_id AND x.threshold = g.threshold LEFT JOIN nt ON nt.s1_id = u.s1_id)
 SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg({f}), 6) AS macro_f05 FROM y GROUP BY 1""",
-        "density_table": f"""{w}, v AS (SELECT country, {band(">")} AS band, sum(label) AS x FROM val GROUP BY 1, 2), t AS (SELECT country, {band(">")} AS band, count(*) AS x FROM test GROUP BY 1, 2),
-nv AS (SELECT country, count(DISTINCT s1_id) AS n FROM val GROUP BY 1), nt AS (SELECT country, count(DISTINCT s1_id) AS n FROM test GROUP BY 1)
-SELECT t.country, t.band, round(least(coalesce(v.x / nv.n, 0.0) / (t.x / nt.n), 1.0), 6) AS rate FROM t JOIN nt USING (country) LEFT JOIN v USING (country, band) LEFT JOIN nv USING (country)""",
+        "density_table": f"""{w}, nv AS (SELECT country, count(*) AS n FROM universe WHERE s1_id % 2 = 0 GROUP BY 1), nt AS (SELECT country, count(*) AS n FROM universe WHERE s1_id % 2 = 1 GROUP BY 1),
+ov AS (SELECT * FROM (SELECT * FROM val QUALIFY prob = max(prob) OVER (PARTITION BY cand_id)) WHERE country <> 'c1' OR prob < 0.5), ot AS (SELECT * FROM test QUALIFY prob = max(prob) OVER (PARTITION BY cand_id)),
+a AS (SELECT country, band, x / n AS tps, x / p AS prec FROM (SELECT country, {band(">")} AS band, sum(label) AS x, count(*) AS p FROM ov GROUP BY 1, 2) JOIN nv USING (country)),
+m AS (SELECT band, avg(tps) AS ptps, avg(prec) AS pprec FROM a GROUP BY 1), b AS (SELECT country, band, x / n AS per FROM (SELECT country, {band(">")} AS band, count(*) AS x FROM ot GROUP BY 1, 2) JOIN nt USING (country))
+SELECT country, band, round(coalesce(prec, pprec), 6) AS val_prec, round(coalesce(tps, ptps), 6) AS true_per_s1, round(per, 6) AS test_per_s1, round(coalesce(least(coalesce(tps, ptps) / per, 1.0), 0.0), 6) AS rate FROM b LEFT JOIN a USING (country, band) LEFT JOIN m USING (band)""",
         "group_rules": f"{rules} SELECT * FROM rules WHERE action IS NOT NULL",
         "group_rules_applied": f"""{rules}, tagged AS (SELECT s1_id, cand_id, action FROM (SELECT *, {band(">=")} AS band FROM test) JOIN rules USING (band, country, nc, nk)),
 c AS (SELECT s1_id, cand_id FROM test WHERE prob >= 0.5 AND (cand_id, prob) IN (SELECT cand_id, max(prob) FROM test GROUP BY 1))
@@ -212,4 +205,4 @@ SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(t, '[^a-z0-
 array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END))), ',') AS nums, regexp_matches(t, '[^\x{0000}-\x{024F}]') AS non_latin FROM d""",
         "id_lists": f"{w} SELECT u.s1_id, coalesce(ids, '') AS ids FROM universe u LEFT JOIN (SELECT s1_id, string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY CAST(cand_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT s1_id, cand_id FROM chosen) GROUP BY 1) x USING (s1_id)",
         "validator": f"{w} SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('missing'), ('extra'), ('repeated_key'), ('repeated_id'), ('outside')) r(rule)",
-    } | linkage.oracle_sql()
+    } | linkage.oracle_sql() | scoring.oracle_sql()
