@@ -12,7 +12,8 @@ Two documents link when 100 * |x & y| >= percent * |x | y| for their sets of ``n
    compatible size is next to it in its list, in the order of size.
 4. Answers from relations.  In each list the most central set (whose indexed shingles meet most other
    sets) is a hub for all that have a compatible size; the list's other sets are dealt with in the same
-   way.  Pairs of hub and member are verified.  Members of a hub are so similar that their answers
+   way.  A set drawn by a hash of list and set is a second hub, another one in each list, so that groups
+   whose members do not all link to their centre are joined too.  Pairs of hub and member are verified.  Members of a hub are so similar that their answers
    overlap: a member's own answers are derived from its hub's component, and no pair inside a
    component is looked at again.
 5. What is left.  Lists that still hold sets of several components are read again, in blocks by
@@ -245,9 +246,26 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
 def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a list's hubs with the members that may link to them."""
 
+    def tested(p, q, size, bits, cid):
+        """Members p and hubs q of compatible sizes."""
+        ok = (p != q) & (size[p] * percent <= size[q] * 100) & (size[q] * percent <= size[p] * 100)
+        p, q = p[ok], q[ok]
+        good = _may_link(size[p], size[q], bits[p], bits[q], percent)
+        p, q = cid[p[good]], cid[q[good]]
+        pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
+        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
     def run(batches):
         for x in _runs(batches, ["tok", "salt", "size", "cid", "bits"]):
             tok, salt, size, cid, bits = x["tok"], x["salt"], x["size"].astype(np.int64), x["cid"], x["bits"]
+            # the second hub of each list
+            head = np.ones(len(tok), bool)
+            head[1:] = tok[1:] != tok[:-1]
+            of, draw = np.cumsum(head) - 1, ta.mix(cid.view(np.uint64) ^ ta.mix(tok.view(np.uint64)))
+            drawn = np.flatnonzero(draw == np.minimum.reduceat(draw, np.flatnonzero(head))[of])
+            hubs = np.zeros(of[-1] + 1, np.int64)
+            hubs[of[drawn]] = drawn
+            yield tested(np.arange(len(tok)), hubs[of], size, bits, cid)
             todo = np.arange(len(tok))
             while len(todo):
                 t, s = tok[todo], salt[todo]
@@ -255,12 +273,7 @@ def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
                 new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
                 hub = todo[np.flatnonzero(new)][np.cumsum(new) - 1]
                 ok = (size[todo] * percent <= size[hub] * 100) & (size[hub] * percent <= size[todo] * 100)
-                p, q = todo[ok & ~new], hub[ok & ~new]
-                good = _may_link(size[p], size[q], bits[p], bits[q], percent)
-                p, q = cid[p[good]], cid[q[good]]
-                if len(p):
-                    pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
-                    yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                yield tested(todo[ok & ~new], hub[ok & ~new], size, bits, cid)
                 todo = todo[~ok]
 
     def compare(batches):
@@ -272,9 +285,10 @@ def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
 
     rare = _dealt(live.filter("tok >= 0"), "tok").sortWithinPartitions("tok", F.desc("central"), "cid")
     rare = rare.select("tok", "salt", "size", "cid", "bits").mapInArrow(run, "a long, b long")
-    # a list of a frequent shingle can be of any length: its one hub is an aggregate, and is joined to the members
+    # a list of a frequent shingle can be of any length: its two hubs are aggregates, and are joined to the members
     often = live.filter("tok < 0")
-    hubs = often.groupBy("tok").agg(F.max(F.struct("central", "cid")).alias("x")).select("tok", F.col("x.cid").alias("h")).distinct()
+    hubs = often.groupBy("tok").agg(F.max(F.struct("central", "cid")).alias("x"), F.min(F.struct(F.xxhash64("tok", "cid"), "cid")).alias("y"))
+    hubs = hubs.select("tok", F.explode(F.array("x.cid", "y.cid")).alias("h")).distinct()
     traits = often.select(F.col("cid").alias("h"), F.col("size").alias("hs"), F.col("bits").alias("hb")).join(hubs.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
     met = often.select("tok", "cid", "size", "bits").join(hubs, "tok").drop("tok").dropDuplicates(["cid", "h"]).join(traits, "h")
     ratio = (F.col("size") * percent <= F.col("hs") * 100) & (F.col("hs") * percent <= F.col("size") * 100)
