@@ -19,5 +19,6 @@ def test_density_of_a_country_without_labels(spark):
     schema = "s1_id long, country string, prob double, label int"
     val = spark.createDataFrame([(1, "a", 0.9, 1), (2, "a", 0.9, 0), (3, "b", 0.9, 1), (4, "b", 0.2, 0)], schema)
     test = spark.createDataFrame([(5, "a", 0.9, 0), (6, "b", 0.9, 0), (7, "c", 0.9, 0), (8, "c", 0.2, 0)], schema)
-    got = {(r.country, r.band): r.rate for r in decide.density(val, test, [0.5]).collect()}
+    n_val, n_test = (spark.createDataFrame(rows, f"country string, {n} long") for n, rows in (("n_val", [("a", 2), ("b", 2)]), ("n_test", [("a", 1), ("b", 1), ("c", 2)])))
+    got = {(r.country, r.band): r.rate for r in decide.density(val, test, n_val, n_test, [0.5]).collect()}
     assert got == {("a", 1): 0.5, ("b", 1): 0.5, ("c", 1): 1.0, ("c", 0): 0.0}
