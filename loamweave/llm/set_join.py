@@ -19,7 +19,9 @@ Two documents link when 100 * |x & y| >= percent * |x | y| for their sets of ``n
 5. What is left.  Lists that still hold sets of several components are read again, in blocks by
    position; a block is skipped as a whole when position and sizes bound the overlap below the need, and
    pairs of one component are skipped.  Lists of frequent shingles are first dealt out by bands of
-   size, each with the band below it, as sets of further bands cannot link.
+   size, each with the band below it, as sets of further bands cannot link.  An entry carries the first
+   ``AHEAD`` of its class's shingles in such lists: a pair that shares an earlier one of them leaves that
+   one's list and not this one, so that close groups do not give each pair once for every common shingle.
 
 Before a pair leaves a list, the parities of ``BITS`` shingle buckets are compared: each shingle that
 only one set has flips at most one parity, so more differing parities than differing shingles are
@@ -52,6 +54,7 @@ from .common import cut, id_type, shared
 from .components import components
 
 PERCENT, WORDS, PER_BUCKET, CHUNKS, SALT, BITS = 90, 3, 32, 16, 32, 256
+AHEAD = 32  # 8 bytes each in every entry of a list that is read again
 FREQUENT = 255  # sixteen roots above the mean: not by chance
 
 
@@ -191,7 +194,7 @@ def _runs(batches, names):
     """Whole lists: record batches in the order of ``tok`` as arrays whose last list is complete."""
     rest = None
     for b in batches:
-        now = {n: _parities(b.column(n)) if n == "bits" else b.column(n).to_numpy(zero_copy_only=False) for n in names}
+        now = {n: _parities(b.column(n)) if n == "bits" else b.column(n).flatten().to_numpy().reshape(-1, AHEAD) if n == "first" else b.column(n).to_numpy(zero_copy_only=False) for n in names}
         if rest is not None:
             now = {n: np.concatenate([rest[n], now[n]]) for n in names}
         if not len(now["tok"]):
@@ -299,12 +302,23 @@ def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
 def block_pairs(live: DataFrame, percent: int, block: int = 64, short: int = 8) -> DataFrame:
     """Pairs (a, b) of different components from lists read in blocks of one position each."""
 
-    def tested(size, pos, cid, comp, low, bits, p, q):
+    def met_before(x, p, q):
+        """Whether the classes at (p, q) share a shingle before this list's, among those that they carry."""
+        out = np.zeros(len(p), bool)
+        for c in range(0, len(p), block * block):
+            u, v, t = x["first"][p[c : c + block * block]], x["first"][q[c : c + block * block]], x["own"][p[c : c + block * block]]
+            out[c : c + len(t)] = ((u[:, :, None] == v[:, None, :]) & (u < t[:, None])[:, :, None]).any(axis=(1, 2))
+        return out
+
+    def tested(x, p, q):
         """The pairs of places (p, q) that may link; pairs of the lower band are met in that band's own list."""
+        size, pos, cid = x["size"], x["pos"], x["cid"]
         bound = np.minimum(pos[p], pos[q]) + np.minimum(size[p] - pos[p], size[q] - pos[q])
-        good = (comp[p] != comp[q]) & ~(low[p] & low[q]) & (bound >= need(size[p], size[q], percent))
+        good = (x["comp"][p] != x["comp"][q]) & ~(x["low"][p] & x["low"][q]) & (bound >= need(size[p], size[q], percent))
         p, q = p[good], q[good]
-        good = _may_link(size[p], size[q], bits[p], bits[q], percent)
+        good = _may_link(size[p], size[q], x["bits"][p], x["bits"][q], percent)
+        p, q = p[good], q[good]
+        good = ~met_before(x, p, q)
         p, q = p[good], q[good]
         return np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])])
 
@@ -329,24 +343,24 @@ def block_pairs(live: DataFrame, percent: int, block: int = 64, short: int = 8)
             yield batch_of(found)[1]
 
     def each(batches):
-        for x in _runs(batches, ["tok", "size", "cid", "pos", "comp", "low", "bits"]):
+        for x in _runs(batches, ["tok", "size", "cid", "pos", "comp", "low", "bits", "own", "first"]):
             edges = np.flatnonzero(np.concatenate([[True], x["tok"][1:] != x["tok"][:-1], [True]]))
             # lists with one component have their answers already
             mixed = np.minimum.reduceat(x["comp"], edges[:-1]) < np.maximum.reduceat(x["comp"], edges[:-1])
             if not mixed.any():
                 continue
             stay = np.repeat(mixed, np.diff(edges))
-            x, edges = {k: v[stay] for k, v in x.items()}, np.concatenate([[0], np.cumsum(np.diff(edges)[mixed])])
+            x = {k: v[stay].astype(np.int64) if k in ("size", "pos") else v[stay] for k, v in x.items()}
+            edges = np.concatenate([[0], np.cumsum(np.diff(edges)[mixed])])
             # lists of a few sets: all at once, by the distance of the two places
             n = np.diff(edges)
             left = np.repeat(np.where(n <= short, n, 0), n) - (np.arange(len(x["tok"])) - np.repeat(edges[:-1], n)) - 1
-            whole = [x["size"].astype(np.int64), x["pos"].astype(np.int64), x["cid"], x["comp"], x["low"], x["bits"]]
             for k in range(1, short):
                 p = np.flatnonzero(left >= k)
                 if len(p):
-                    yield tested(*whole, p, p + k)
+                    yield tested(x, p, p + k)
             for i, j in zip(edges[:-1][n > short].tolist(), edges[1:][n > short].tolist(), strict=True):
-                size, pos, cid, comp, low, bits = x["size"][i:j].astype(np.int64), x["pos"][i:j].astype(np.int64), x["cid"][i:j], x["comp"][i:j], x["low"][i:j], x["bits"][i:j]
+                size, pos = x["size"][i:j], x["pos"][i:j]
                 # blocks: entries of one position, at most ``block`` of them, in the order of size
                 cuts = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
                 cuts = np.unique(np.concatenate([cuts, *[np.arange(c, d, block) for c, d in zip(cuts, np.append(cuts[1:], j - i), strict=True)]]))
@@ -364,15 +378,15 @@ def block_pairs(live: DataFrame, percent: int, block: int = 64, short: int = 8)
                         if o == b:
                             p, q = p[p < q], q[p < q]
                         if len(p):
-                            yield tested(size, pos, cid, comp, low, bits, p, q)
+                            yield tested(x, p + i, q + i)
 
     # sets that link are in one band of size or in neighbours
     band = F.floor(F.log("size") / np.log(100 / percent)) if percent < 100 else F.col("size")
     entry = lambda tok, low: F.struct(tok.alias("tok"), F.lit(low).alias("low"))
     both = F.when(F.col("tok") < 0, F.array(entry(F.xxhash64("tok", band), False), entry(F.xxhash64("tok", band + 1), True))).otherwise(F.array(entry(F.col("tok"), False)))
-    e = live.withColumn("_e", F.explode(both)).select("_e.tok", "_e.low", "size", "cid", "pos", "comp", "bits")
+    e = live.withColumn("_e", F.explode(both)).select("_e.tok", "_e.low", "size", "cid", "pos", "comp", "bits", F.col("tok").alias("own"), "first")
     e = _dealt(e, "tok").sortWithinPartitions("tok", "pos", "size", "cid")
-    return e.select("tok", "size", "cid", "pos", "comp", "low", "bits").mapInArrow(run, "a long, b long").distinct()
+    return e.select("tok", "size", "cid", "pos", "comp", "low", "bits", "own", "first").mapInArrow(run, "a long, b long").distinct()
 
 
 def fetch_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -464,8 +478,13 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, text: str = "t
     trace("links", links)
     comp = cut(components(links, "a", "b"))
     name = lambda c: F.coalesce(F.col("comp"), F.col(c))
-    labelled = live.select("tok", "size", "cid", "pos").join(classes.select("cid", "bits"), "cid").join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", name("cid")).drop("id")
-    rest = block_pairs(labelled, percent)
+    labelled = live.select("tok", "size", "cid", "pos").join(comp, F.col("cid") == F.col("id"), "left").withColumn("comp", name("cid")).drop("id")
+    mixed = labelled.groupBy("tok").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x < _y").select("tok")
+    labelled = cut(labelled.join(mixed, "tok", "left_semi"))
+    # a class has no more tokens than its text has words
+    first = labelled.groupBy("cid").agg(F.sort_array(F.collect_list("tok")).alias("first"))
+    first = first.select("cid", F.slice(F.concat("first", F.array_repeat(F.lit(2**63 - 1), AHEAD)), 1, AHEAD).alias("first"))
+    rest = block_pairs(labelled.join(classes.select("cid", "bits"), "cid").join(first, "cid"), percent)
     more = cut(screen(rest.join(stars, ["a", "b"], "left_anti"), classes, percent))
     trace("more", more)
     if more.limit(1).count():
