@@ -32,10 +32,10 @@ def unmatched(a: str, b: str, least: float = 80) -> int:
     return sum(t not in other and not any(sim.ratio(t, u) >= least for u in other) for t in a.split())
 
 
-def with_records(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs with q_* and c_* fields of both records (ids s1_id and cand_id); a pair without a record keeps empty fields."""
-    q = queries.select(F.col("entity_id").alias("s1_id"), "country", *[F.col(f).alias(f"q_{f}") for f in FIELDS])
-    c = pool.select(F.col("entity_id").alias("cand_id"), *[F.col(f).alias(f"c_{f}") for f in FIELDS])
+def with_records(pairs: DataFrame, queries: DataFrame, pool: DataFrame, more: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+    """Pairs with q_* and c_* fields of both records (ids s1_id and cand_id); a pair without a record keeps empty fields.  ``more``: other columns of either side."""
+    q = queries.select(F.col("entity_id").alias("s1_id"), "country", *[F.col(f).alias(f"q_{f}") for f in [*FIELDS, *more[0]]])
+    c = pool.select(F.col("entity_id").alias("cand_id"), *[F.col(f).alias(f"c_{f}") for f in [*FIELDS, *more[1]]])
     text = [s + f for s in ("q_", "c_") for f in FIELDS if f != "non_latin"]
     return pairs.drop("country").join(q, "s1_id", "left").join(c, "cand_id", "left").na.fill("", text).na.fill(False, ["q_non_latin", "c_non_latin"])
 
@@ -88,6 +88,26 @@ def rarity(d: DataFrame, queries: DataFrame) -> DataFrame:
     return d
 
 
+def counted(queries: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with what ``rarity`` counts, per record instead of per pair: key_freq and addr_freq of queries, key_s1 and
+    addr_s1 of the pool, maps from a country to the number of its query records with the key."""
+    for field, short in (("name_key", "key"), ("addr_key", "addr")):
+        n = queries.filter((F.col(field) != "") & F.col("country").isNotNull()).groupBy("country", field).agg(F.count(F.lit(1)).alias("_n"))
+        queries = queries.join(n, ["country", field], "left").withColumn(f"{short}_freq", F.coalesce("_n", F.lit(0))).drop("_n")
+        pool = pool.join(n.groupBy(field).agg(F.map_from_entries(F.collect_list(F.struct("country", "_n"))).alias(f"{short}_s1")), field, "left")
+    return queries, pool
+
+
+def pair_rarity(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """``rarity`` of pairs and their records' fields, from sides that are counted once: no pair is dealt out by its keys."""
+    d = with_records(pairs, *counted(queries, pool), (["key_freq", "addr_freq"], ["key_s1", "addr_s1"]))
+    for short, field in (("key", "name_key"), ("addr", "addr_key")):
+        n = F.coalesce(F.try_element_at(f"c_{short}_s1", F.col("country")), F.lit(0))
+        same = (F.col(f"q_{field}") == F.col(f"c_{field}")).cast("int")
+        d = d.withColumns({f"q_{short}_freq": F.coalesce(f"q_{short}_freq", F.lit(0)), f"c_{short}_s1_freq": n, f"c_{short}_other_s1": F.greatest(n - same, F.lit(0))})
+    return d.drop("c_key_s1", "c_addr_s1")
+
+
 def group(d: DataFrame) -> DataFrame:
     """Features among an entity's and a candidate's pairs, over the whole table: cos, rank, competition, repeats, and the first candidate."""
     s, c = Window.partitionBy("s1_id"), Window.partitionBy("cand_id")
